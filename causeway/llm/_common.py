@@ -31,16 +31,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def with_unit_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", uid: str = "_u") -> DataFrame:
-    """Columns (_u, id, text), one row per row of docs; _u is unique and orders rows as
-    (id, nulls last; then the text's digest). Where ids are unique and present, _u is the id
-    itself and no row moves; else rows are sorted once and numbered."""
+def unit_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
+    """Texts (_u, text), one row per row of docs, and names (_u, doc_id). _u is unique and orders
+    rows as (id, nulls last; then the text's digest). Where ids are unique and present, _u is the
+    id itself, no row moves and names is None; else rows are sorted once and numbered."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     twice = narrow.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1)
     if twice.isEmpty():
-        return narrow.select(F.col("doc_id").alias(uid), "doc_id", "text")
+        return narrow.select(F.col("doc_id").alias("_u"), "text"), None
     ordered = narrow.orderBy(F.col("doc_id").asc_nulls_last(), F.md5(F.coalesce("text", F.lit(""))))
-    return cut(ordered.select(F.monotonically_increasing_id().alias(uid), "doc_id", "text"))
+    numbered = cut(ordered.select(F.monotonically_increasing_id().alias("_u"), "doc_id", "text"))
+    return numbered.select("_u", "text"), numbered.select("_u", "doc_id")
+
+
+def named(units: DataFrame, names: DataFrame | None) -> DataFrame:
+    """doc_id in the place of _u."""
+    rest = [c for c in units.columns if c != "_u"]
+    return units.select(F.col("_u").alias("doc_id"), *rest) if names is None else units.join(names, "_u").select("doc_id", *rest)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -41,6 +41,11 @@ def _rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def spread(unit: np.ndarray) -> np.ndarray:
+    """Keys that only deal rows out evenly; small, as they compress better."""
+    return W.scramble(unit.astype(np.uint64)) & np.uint64(0xFFFF)
+
+
 class Scan:
     """How a text becomes units. units(data, bounds) gives the unit hashes of a batch and the texts' bounds in them."""
 
@@ -80,7 +85,7 @@ def find_anchors(scan: Scan) -> Callable:
             local = np.zeros(len(key), np.int32)
             local[new] = np.diff(np.r_[new, len(key)])
             rest = local == 0
-            key[rest] = W.scramble(u[rest].astype(np.uint64) * np.uint64(31) + pos[rest].astype(np.uint64))
+            key[rest] = spread(u[rest])
             yield _rows(ANCHOR, C.longs(key), local, u, pos.astype(np.int32))
 
     return run
@@ -108,6 +113,7 @@ def find_fragments(scan: Scan, hot: np.ndarray, body: Callable) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column(2).is_valid())
             unit = batch.column(0).to_numpy()
             lists = batch.column(2)
             wanted = lists.flatten().to_numpy()
@@ -141,8 +147,7 @@ def find_fragments(scan: Scan, hot: np.ndarray, body: Callable) -> Callable:
                 back = (at - lo).astype(np.int16)
                 if rest.any():
                     r = np.flatnonzero(rest)
-                    spread = W.scramble(u[r].astype(np.uint64) * np.uint64(31) + pos[r].astype(np.uint64))
-                    yield _rows(FRAGMENT, C.longs(spread), u[r], pos[r].astype(np.int32), back[r], n[r], pa.nulls(len(r), pa.binary()))
+                    yield _rows(FRAGMENT, C.longs(spread(u[r])), u[r], pos[r].astype(np.int32), back[r], n[r], pa.nulls(len(r), pa.binary()))
                 f = np.flatnonzero(first)
                 for a in range(0, len(f), 200_000):
                     g = f[a : a + 200_000]
@@ -201,17 +206,18 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def repeated_windows(docs: DataFrame, scan: Scan, body: Callable, repeated: Callable, hot_limit: int = HOT_LIMIT) -> DataFrame:
-    """docs: (_u, doc_id, text). Returns docs with masks, an array of (pos, mask), null where no window is repeated."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select("_u", "text")
+def repeated_windows(texts: DataFrame, scan: Scan, body: Callable, repeated: Callable, hot_limit: int = HOT_LIMIT) -> DataFrame:
+    """texts: (_u, text). Returns texts with at and mask, the positions of anchors and the masks of their
+    repeated windows; null where a text has none. Both joins are left joins of the same texts, so Spark
+    deals the texts out once and uses that twice."""
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = texts.mapInArrow(find_anchors(scan), ddl(ANCHOR)).repartition(n, "key").mapInArrow(keep_repeated, ddl(FOUND))
     found = C.cut(found)
     limit = max(hot_limit, found.count() // MAX_HOT)  # so no more than MAX_HOT anchors are over it
     hot = found.where(F.col("met") > limit).select("key").distinct().toArrow()
     hot = np.sort(hot.column(0).combine_chunks().to_numpy().view(np.uint64)) if hot.num_rows else np.zeros(0, np.uint64)
     wanted = found.groupBy(F.col("unit").alias("_u")).agg(F.collect_list("pos").alias("at"))
-    fragments = texts.join(wanted, "_u").select("_u", "text", "at").mapInArrow(find_fragments(scan, hot, body), ddl(FRAGMENT))
+    fragments = texts.join(wanted, "_u", "left").select("_u", "text", "at").mapInArrow(find_fragments(scan, hot, body), ddl(FRAGMENT))
     marked = fragments.repartition(n, "key").mapInArrow(masks(repeated), ddl(MASK))
     marked = marked.groupBy(F.col("unit").alias("_u")).agg(F.collect_list("pos").alias("at"), F.collect_list("mask").alias("mask"))
-    return docs.join(marked, "_u", "left")
+    return texts.join(marked, "_u", "left").select("_u", "text", "at", "mask")

@@ -20,7 +20,7 @@ from causeway.llm import _common as C
 from causeway.llm import _repeats as R
 from causeway.llm import _windows as W
 
-OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))])
+OUT = pa.schema([("_u", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))])
 
 
 class Words(R.Scan):
@@ -62,7 +62,7 @@ def _apply(window: int):
                 first, last = R.runs(gone)
                 spans.append([{"first": int(a), "last": int(b) - 1} for a, b in zip(first, last)])
                 kept.append((b" ".join(compress(words, (~gone).tolist())) if n_removed[-1] else b" ".join(words)).decode())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, f.type) for x, f in zip((n_words, n_removed, kept, spans), list(OUT)[1:]))], schema=OUT)
+            yield pa.RecordBatch.from_arrays([batch.column("_u"), *(pa.array(x, f.type) for x, f in zip((n_words, n_removed, kept, spans), list(OUT)[1:]))], schema=OUT)
 
     return run
 
@@ -79,6 +79,6 @@ def remove_repeated_words(docs: DataFrame, window: int = 20, base: int | None =
     base = base or window // 2
     if not 2 <= window <= 63 or not 1 <= base < window:
         raise ValueError("window must be 2 to 63 words, base less")
-    units = C.with_unit_ids(docs, id_col, text_col)
-    found = R.repeated_windows(units, Words(window, base), _body, _repeated, hot_limit)
-    return found.select("doc_id", "text", "at", "mask").mapInArrow(_apply(window), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<first:int,last:int>>")
+    texts, names = C.unit_texts(docs, id_col, text_col)
+    found = R.repeated_windows(texts, Words(window, base), _body, _repeated, hot_limit)
+    return C.named(found.mapInArrow(_apply(window), "_u long, n_words long, n_removed long, kept string, spans array<struct<first:int,last:int>>"), names)

@@ -24,7 +24,7 @@ from causeway.llm import _windows as W
 #: A random number for each byte.
 BYTE = W._random(11, 256)
 
-OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))])
+OUT = pa.schema([("_u", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))])
 
 
 class Bytes(R.Scan):
@@ -188,7 +188,7 @@ def _apply(window: int):
                 first, last = R.runs(gone)
                 spans.append([{"first": int(a), "last": int(b) - 1} for a, b in zip(first, last)])
                 kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, f.type) for x, f in zip((n_bytes, n_removed, kept, spans), list(OUT)[1:]))], schema=OUT)
+            yield pa.RecordBatch.from_arrays([batch.column("_u"), *(pa.array(x, f.type) for x, f in zip((n_bytes, n_removed, kept, spans), list(OUT)[1:]))], schema=OUT)
 
     return run
 
@@ -204,7 +204,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100, gram: int = 40, id
     """
     if length - gram + 1 > 62 or not 1 <= gram <= length:
         raise ValueError("gram must be at most length, and at least length - 61")
-    units = C.with_unit_ids(docs, id_col, text_col)
+    texts, names = C.unit_texts(docs, id_col, text_col)
     body = lambda part, whole, lo, hi: _body(part, whole, lo, hi, length)
-    found = R.repeated_windows(units, Bytes(length, gram), body, _repeated(length), hot_limit)
-    return found.select("doc_id", "text", "at", "mask").mapInArrow(_apply(length), "doc_id long, n_bytes long, n_removed long, kept binary, spans array<struct<first:int,last:int>>")
+    found = R.repeated_windows(texts, Bytes(length, gram), body, _repeated(length), hot_limit)
+    return C.named(found.mapInArrow(_apply(length), "_u long, n_bytes long, n_removed long, kept binary, spans array<struct<first:int,last:int>>"), names)
