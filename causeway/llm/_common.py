@@ -67,7 +67,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def gathered(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> pa.Table:
     """A whole shuffle partition as one table; its size is set by the number of partitions."""
-    return pa.Table.from_batches(list(batches), schema).combine_chunks()
+    batches = list(batches)
+    return (pa.Table.from_batches(batches) if batches else schema.empty_table()).combine_chunks()
 
 
 def array_of(table: pa.Table, name: str) -> np.ndarray:

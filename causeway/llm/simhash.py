@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.llm import _common as C
+from causeway.llm import _windows as W
 from causeway.llm._components import components
 
 THRESHOLD = 3
@@ -93,12 +94,18 @@ def anchors_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of columns fp, or f0, f1, ... and fp: rows (anchor, fp), or (anchor, f, fp), for each anchor of each fingerprint; a
+    home has the odd number."""
     for batch in batches:
-        fps = batch.column(0).to_numpy().view(np.uint64)
-        for a in range(0, len(fps), 10_000):
-            fp = fps[a : a + 10_000]
-            key, owner, home = anchors_of(fp)
-            yield pa.RecordBatch.from_arrays([C.longs(key << np.uint64(1) | home), C.longs(fp[owner])], names=["anchor", "fp"])
+        columns = [c.to_numpy().view(np.uint64) for c in batch.columns]
+        for a in range(0, len(batch), 10_000):
+            fp = columns[-1][a : a + 10_000]
+            for table, f in enumerate(columns[:-1] or columns):
+                f = f[a : a + 10_000]
+                key, owner, home = anchors_of(f)
+                key |= np.uint64(table << 40)
+                names = ["anchor", "f", "fp"] if len(columns) > 1 else ["anchor", "fp"]
+                yield pa.RecordBatch.from_arrays([C.longs(key << np.uint64(1) | home), *([C.longs(f[owner])] if len(columns) > 1 else []), C.longs(fp[owner])], names=names)
 
 
 class _Forest:
@@ -125,7 +132,7 @@ class _Forest:
         return kept
 
 
-def _spread(members: np.ndarray, fp: np.ndarray, threshold: int):
+def _spread(members: np.ndarray, near):
     """Links that reach every member of a large group from those already reached: each new one is
     compared with the unreached only, so a group of close fingerprints shrinks at once."""
     left = members
@@ -135,53 +142,62 @@ def _spread(members: np.ndarray, fp: np.ndarray, threshold: int):
             found = []
             size = max(1, BLOCK // len(left))
             for a in range(0, len(front), size):
-                near = np.bitwise_count(fp[front[a : a + size], None] ^ fp[None, left]) <= threshold
-                hit = near.any(0)
+                close = near(front[a : a + size, None], left[None, :])
+                hit = close.any(0)
                 if hit.any():
                     found.append(left[hit])
-                    yield front[a : a + size][near[:, hit].argmax(0)], found[-1]
+                    yield front[a : a + size][close[:, hit].argmax(0)], found[-1]
                     left = left[~hit]
                 if not len(left):
                     break
             front = np.concatenate(found) if found else front[:0]
 
 
-def _compare(threshold: int, most: int = BLOCK):
+def _compare(threshold: int, most: int = BLOCK, wide: int | None = None):
+    """wide: rows have the column f, too; of it at most `wide` bits may differ, and of fp at most `threshold`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = C.gathered(batches, pa.schema([("anchor", pa.int64()), ("fp", pa.int64())]))
+        names = ["anchor", "fp"] if wide is None else ["anchor", "f", "fp"]
+        t = C.gathered(batches, pa.schema([(c, pa.int64()) for c in names]))
         if not len(t):
             return
-        anchor, fp = C.array_of(t, "anchor").view(np.uint64), C.array_of(t, "fp").view(np.uint64)
-        own, fp = np.unique(fp, return_inverse=True)
+        anchor = C.array_of(t, "anchor").view(np.uint64)
+        own, fp = np.unique(C.array_of(t, "fp").view(np.uint64), return_inverse=True)
         order = np.argsort(anchor, kind="stable")
         home, key, fp = (anchor[order] & np.uint64(1)).astype(bool), anchor[order] >> np.uint64(1), fp[order]
+        value = own[fp]
+        f = None if wide is None else C.array_of(t, "f").view(np.uint64)[order]
+
+        def near(i, j):
+            ok = np.bitwise_count(value[i] ^ value[j]) <= threshold
+            return ok if f is None else ok & (np.bitwise_count(f[i] ^ f[j]) <= wide)
+
         new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[new, len(key)])
         n_home = np.add.reduceat(home.astype(np.int64), new)
         # homes have the larger number, so they are the last of their anchor
         forest, links = _Forest(len(own)), []
 
-        def add(a, b):
-            kept = forest.join(a, b)
+        def add(i, j):
+            kept = forest.join(fp[i], fp[j])
             if kept:
-                links.append((a[kept], b[kept]))
+                links.append((fp[i][kept], fp[j][kept]))
 
         some = np.flatnonzero((n_home > 0) & (sizes > 1))
         pairs = n_home[some] * sizes[some]
         for g in some[pairs > most]:
-            members = np.unique(fp[new[g] : new[g] + sizes[g]])
-            for a, b in _spread(members, own, threshold):
-                add(a, b)
+            members = np.arange(new[g], new[g] + sizes[g])
+            for i, j in _spread(members[np.unique(fp[members], return_index=True)[1]], near):
+                add(i, j)
         some = some[pairs <= most]
         pairs = n_home[some] * sizes[some]
         block = (np.cumsum(pairs) - 1) // most if len(pairs) else pairs
         for part in np.split(some, np.flatnonzero(np.diff(block)) + 1) if len(some) else []:
             hs = C.ranges(new[part] + sizes[part] - n_home[part], n_home[part])
             reach = np.repeat(sizes[part], n_home[part])
-            a = np.repeat(fp[hs], reach)
-            b = fp[C.ranges(np.repeat(new[part], n_home[part]), reach)]
-            near = np.flatnonzero((a != b) & (np.bitwise_count(own[a] ^ own[b]) <= threshold))
-            add(a[near], b[near])
+            i, j = np.repeat(hs, reach), C.ranges(np.repeat(new[part], n_home[part]), reach)
+            close = np.flatnonzero((fp[i] != fp[j]) & near(i, j))
+            add(i[close], j[close])
         if links:
             a, b = (np.concatenate(x) for x in zip(*links))
             yield pa.RecordBatch.from_arrays([C.longs(own[a]), C.longs(own[b])], names=["a", "b"])
@@ -215,3 +231,71 @@ def simhash_components(docs: DataFrame, words: int = 3, threshold: int = THRESHO
     least = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
     named = nodes.join(least, "component").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: For near copies at a similarity of 0.8 of their sets of five-word shingles: as many fingerprints of the set of
+#: words; the bits of one of them that may differ; and of the shingles' own fingerprint. Two texts of similarity
+#: s have shingle sets at the angle acos(2 s / (1 + s)), which at 0.8 is 9.7 of 64 bits, give or take 2.9.
+TABLES, WORD_BITS, SHINGLE_BITS = 4, 10, 12
+
+
+def _majority(h: np.ndarray) -> int:
+    counts = np.zeros(64, np.int64)
+    for a in range(0, len(h), 1 << 15):
+        counts += np.unpackbits(h[a : a + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0]) if len(h) else 0
+
+
+def set_fingerprints(text: str | None, words: int = 5, tables: int = TABLES) -> list[int]:
+    """`tables` SimHashes of the set of a text's words and one of the set of its shingles of `words` words (a shorter
+    text is one shingle; without words all are 0). A-Z count as a-z."""
+    data = np.frombuffer((text or "").encode(), np.uint8)
+    starts, ends, _ = W.words(data, np.array([0, len(data)]))
+    h = W.word_hashes(data, starts, ends, lower=True)
+    if not len(h):
+        return [0] * (tables + 1)
+    own = np.unique(h)
+    shingles = np.unique(W.grams(h, min(words, len(h))))
+    return [*(_majority(W.scramble(own + np.uint64(0x9E3779B97F4A7C15 * (i + 1) % (1 << 64)))) for i in range(tables)), _majority(shingles)]
+
+
+def _set_fingerprints(words: int, tables: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([set_fingerprints(t.as_py(), words, tables) for t in batch.column(1)], np.uint64).reshape(len(batch), tables + 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(C.longs(prints[:, i]) for i in range(tables + 1))], names=["_u", *(f"f{i}" for i in range(tables)), "fp"])
+
+    return run
+
+
+def near_copies(texts: DataFrame, words: int = 5, tables: int = TABLES, word_bits: int = WORD_BITS, shingle_bits: int = SHINGLE_BITS) -> DataFrame:
+    """texts: (_u, text), _u unique. Returns (_u, first): of each text with near copies, the smallest _u among them.
+
+    Texts are near copies if the SimHashes of their sets of five-word shingles differ in at most `shingle_bits`
+    bits. Candidates meet at the anchors of several SimHashes of their sets of words, which few edits
+    leave almost alone: those with at most 3 differing bits in one of them surely do, and most of those whose
+    similarity is 0.8 or more. Texts without a word are copies of each other.
+    """
+    fs = [f"f{i}" for i in range(tables)]
+    prints = C.cut(texts.mapInArrow(_set_fingerprints(words, tables), f"_u long, {', '.join(f'{f} long' for f in fs)}, fp long"))
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = prints.select(*fs, "fp").distinct().repartition(n).mapInArrow(_replicate, "anchor long, f long, fp long")
+    links = copies.repartition(n, F.shiftright("anchor", 1)).mapInArrow(_compare(shingle_bits, wide=word_bits), "a long, b long").distinct()
+    found = components(links)
+    named = prints.select("_u", "fp").join(found.withColumnRenamed("node", "fp"), "fp", "left").select("_u", F.coalesce("component", "fp").alias("c"))
+    named = C.cut(named)
+    least = named.groupBy("c").agg(F.min("_u").alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return named.join(least, "c").select("_u", "first")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """The rows of docs without those that are near copies (see near_copies) of a row with a smaller id; all columns
+    pass through. Rows that repeat an id, and null ids, which sort last, count as rows of their own."""
+    twice = docs.groupBy(F.col(id_col).alias("_id")).count().where("count > 1 or _id is null").limit(1)
+    key = id_col
+    if not twice.isEmpty():
+        docs = docs.orderBy(F.col(id_col).asc_nulls_last(), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+        docs, key = C.cut(docs.withColumn("_row", F.monotonically_increasing_id())), "_row"
+    gone = near_copies(docs.select(F.col(key).cast("long").alias("_u"), F.col(text_col).cast("string").alias("text")), **kw).where("_u <> first")
+    kept = docs.join(gone.select(F.col("_u").alias("_gone")), F.col(key) == F.col("_gone"), "left_anti")
+    return kept.drop("_row") if key == "_row" else kept
