@@ -33,7 +33,8 @@ def fitted(sample: DataFrame, fit: Callable[[list[bytes], np.ndarray], bytes]) -
         texts = [x.as_py().encode() for chunk in t.column("text").chunks for x in chunk]
         yield pa.RecordBatch.from_arrays([pa.array([fit(texts, t.column("y").to_numpy().astype(np.int64))], pa.binary())], names=["model"])
 
-    return bytes(sample.repartition(1).mapInArrow(run, "model binary").first()[0])
+    model = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return bytes(model[0]) if model is not None else fit([], np.zeros(0, np.int64))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> np.ndarray:

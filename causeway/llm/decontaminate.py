@@ -92,7 +92,7 @@ class Index:
             return none, none, none
         diagonal = at - bounds[text] - place + self.reach
         band = diagonal // STEP
-        twice = np.flatnonzero((diagonal % STEP < 2 * self.reach) & (band > 0))  # bands overlap by twice the edits
+        twice = np.flatnonzero(diagonal % STEP < 2 * self.reach)  # bands overlap by twice the edits
         row = np.r_[np.arange(len(text)), twice]
         band = np.r_[band, band[twice] - 1]
         # distinct q-grams of the item in each (text, item, band)
@@ -113,7 +113,7 @@ class Index:
         a, b = max(0, low - e), min(len(text), low + width + len(pattern) + e)
         if (exact := text[a:b].tobytes().find(pattern.tobytes())) >= 0:
             return 0, a + exact, a + exact + len(pattern) - 1
-        found = align(pattern, text[a:b], e, max(0, low - e) - a, low + width + e - a)
+        found = align(pattern, text[a:b], e, low - e - a, low + width + e - a)
         return None if found is None else (found[0], a + found[1], a + found[2] - 1)
 
 

@@ -58,7 +58,7 @@ def merged(sketches: str | Column) -> Column:
 
 def as_text(sketch: str | Column) -> Column:
     """16 hexadecimal digits a hash."""
-    return F.lower(F.array_join(F.transform(sketch, lambda h: F.hex(h)), ""))
+    return F.lower(F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
 
 
 def with_next(docs: DataFrame, columns: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -81,9 +81,10 @@ def compose(a: Transducer, b: Transducer) -> Transducer:
     return Transducer(start, arcs)
 
 
-#: A reported clause, or words denied within three tokens, weigh less; with a target near, more.
-REPORTED = Transducer(0, {(0, REPORT): (1, REPORT, 1.0), (1, INSULT): (1, INSULT, 0.5), (1, THREAT): (1, THREAT, 0.5)})
-DENIED = _timed(NEGATION, 3, {INSULT: 0.4, THREAT: 0.3})
+#: What follows reported speech in its clause weighs less, as do insults denied within three tokens; a denied
+#: threat is none; an insult with a target near weighs more.
+REPORTED = Transducer(0, {(0, REPORT): (1, REPORT, 1.0), (1, INSULT): (1, INSULT, 0.5), (1, TARGET): (1, TARGET, 0.5)})
+DENIED = _timed(NEGATION, 3, {INSULT: 0.4, THREAT: 1.0}, {THREAT: OTHER})
 AIMED = _timed(TARGET, 4, {INSULT: 1.5})
 THREATENED = _timed(THREAT, 4, {TARGET: 1.0}, {TARGET: HIT})  # a threat needs a target after it
 INSULTED = Transducer(0, {(0, INSULT): (0, HIT, 1.0)})

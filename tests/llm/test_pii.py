@@ -1,0 +1,73 @@
+import random
+
+from pyspark.sql import functions as F
+
+from causeway.llm import pii as P
+
+KEY = b"0" * 32
+
+
+def test_permutations():
+    for size in (1, 2, 7, 30, 1000):
+        assert sorted(P._permute(i, size, KEY, b"t") for i in range(size)) == list(range(size))
+    values = [f"{i:03d}" for i in range(1000)]
+    assert sorted(P.keep_format(v, KEY, "t") for v in values) == values
+    assert P.keep_format("Ab-9 я", KEY, "t")[2] == "-"
+
+
+def test_types_and_formats():
+    for group, names in P.NAMES.items():
+        new = [P.surrogate("given", n.casefold(), KEY) for n in names]
+        assert sorted(new) == sorted(n.casefold() for n in names) and all(a != b.casefold() for a, b in zip(new, names))
+    card = "4539578763621486"
+    assert P._luhn(card[:-1]) == 6
+    new = P.surrogate("card", card, KEY)
+    assert new != card and new[0] == "4" and len(new) == 16 and P._luhn(new[:-1]) == int(new[-1])
+    assert len({P.surrogate("card", f"4{i:015d}", KEY) for i in range(3000)}) == 3000
+    assert len({P.surrogate("ip", f"10.{i // 256}.{i % 256}.7", KEY) for i in range(3000)}) == 3000
+    assert P.dressed("+1 (017) 555-7713", "phone", "10000000001") == "+1 (000) 000-0001"
+    assert P.dressed("AB@C.DE", "email", "xy@z.de") == "XY@Z.DE"
+
+
+def test_detection():
+    text = 'Mary Jones wrote to ab.12@mail5.example.com, +1 (743) 555-3824, from 152.143.123.131 token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"### 4785380592391389. Иван Петров'
+    assert [(text[a:b], k) for a, b, k in P.detect(text)] == [
+        ("Mary", "given"), ("Jones", "family"), ("ab.12@mail5.example.com", "email"), ("+1 (743) 555-3824", "phone"), ("152.143.123.131", "ip"),
+        ("24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "secret"), ("4785380592391389", "card"), ("Иван", "given"), ("Петров", "family"),
+    ]
+    for clean in ("", "version 3.11.2 of 2024-01-02", "Licensed under CC BY-NC 4.0.", "1 2 3 4 5 6 7 8 9 10 11 12 13 14", "Marylebone"):
+        assert P.detect(clean) == []
+
+
+def test_operator(spark):
+    r = random.Random(1)
+    mails = [f"user{i}.{r.randint(10, 99)}@mail{i % 5}.example.com" for i in range(30)]
+    docs = [(1, None, "x"), (2, "", "x"), (3, "nothing here", "x"), (4, mails[0].upper() + "!!", "x"), (4, mails[0].upper() + "!!", "x"), (None, mails[1], None)]
+    docs += [(10 + i, " ".join(r.choice(mails + ["and", "10.0.0.1", "Anna Schmidt"]) for _ in range(20)), "x") for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, n_entities string").repartition(5)
+    got = P.with_surrogates(df, "key").collect()
+    assert sorted(x.doc_id or -1 for x in got) == sorted(d[0] or -1 for d in docs)
+    before, seen = {d[0]: d[1] for d in docs}, {}
+    for x in got:
+        old = before[x.doc_id]
+        if not old or not P.detect(old):
+            assert x.text == old and x.n_entities == 0
+            continue
+        a, b = P.detect(old), P.detect(x.text)
+        assert [k for *_, k in a] == [k for *_, k in b]
+        for (i, j, k), (m, n, _) in zip(a, b):
+            seen.setdefault((k, P.canonical(k, old[i:j])), set()).add(P.canonical(k, x.text[m:n]))
+        assert not any(m in x.text.lower() for m in mails) and "10.0.0.1" not in x.text
+    assert all(len(v) == 1 for v in seen.values())  # coreference
+    assert len({(k, *v) for (k, _), v in seen.items()}) == len(seen)  # distinctness
+    again = P.with_surrogates(df.repartition(2), "key").collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    assert P.with_surrogates(df.limit(0), "key", count=None).columns == df.columns
+
+
+def test_collisions_draw_again(spark, monkeypatch):
+    # a format of ten strings, seven of them entities: every surrogate must be one of the other three, or shared formats draw on
+    entities = spark.createDataFrame([(f"family\t{c}",) for c in "абвгдежзиклмн"], "entity string")
+    got = {r.entity: r.surrogate for r in P.draws(entities, KEY).collect()}
+    assert len(set(got.values())) == 13 and not set(got) & set(got.values())
+    assert P.draws(entities.select(F.col("entity")).limit(0), KEY).count() == 0
