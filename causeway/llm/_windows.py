@@ -13,8 +13,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Positions handled at once; bounds the memory for texts of any length.
-CHUNK = 1 << 21
+#: Positions handled at once: bounds the memory for texts of any length, and fits a processor's cache.
+CHUNK = 1 << 17
 LOW = np.uint64((1 << 24) - 1)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -70,6 +70,18 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
+class Spans:
+    """Hashes of any runs of units, from prefix sums of their polynomial."""
+
+    def __init__(self, values: np.ndarray, block: int):
+        self.up, self.down = _powers(max(block, 1 << int(len(values)).bit_length()))
+        self.total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * self.up[: len(values)], out=self.total[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return scramble((self.total[ends] - self.total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+
+
 def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (in bytes) of the words of all texts, and the n + 1 offsets of the texts in them."""
     if not len(data):
@@ -85,7 +97,7 @@ def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, bounds)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, block: int = 1 << 20) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, block: int = CHUNK) -> np.ndarray:
     """64-bit hash of each word's bytes (lower: with A-Z as a-z), from prefix sums, a block of words at a time."""
     out = np.empty(len(starts), np.uint64)
     table = _random(11, 256)
@@ -96,12 +108,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     while at < len(starts):
         base = starts[at]
         to = max(at + 1, int(np.searchsorted(ends, base + block, "right")))
-        piece = data[base : ends[to - 1]]
-        up, down = _powers(max(block, 1 << int(len(piece)).bit_length()))
-        total = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum(table[piece] * up[: len(piece)], out=total[1:])
-        s, e = starts[at:to] - base, ends[at:to] - base
-        out[at:to] = scramble((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+        out[at:to] = Spans(table[data[base : ends[to - 1]]], block)(starts[at:to] - base, ends[at:to] - base)
         at = to
     return out
 

@@ -28,11 +28,14 @@ class Words(R.Scan):
         starts, ends, within = W.words(data, bounds)
         return W.word_hashes(data, starts, ends), within
 
+    def values(self, part):
+        return part
 
-def _body(part, whole, lo, hi):
-    """A fragment of words travels as the hashes of its windows."""
-    n = hi - lo + 1
-    return whole[C.ranges(lo, n)].view(np.uint8), np.r_[0, np.cumsum(n * 8)]
+    def body(self, part, spans, lo, hi):
+        """The hashes of the windows."""
+        n = hi - lo + 1
+        at = C.ranges(lo, n)
+        return spans(at, at + self.window).view(np.uint8), n * 8
 
 
 def _repeated(key, unit, start, n, data, offsets):
@@ -51,12 +54,12 @@ def _apply(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept, spans = [], [], [], []
-            at, mask = batch.column("at"), batch.column("mask")
+            start, n = batch.column("start"), batch.column("n")
             for i, text in enumerate(batch.column("text")):
                 words = (text.as_py() or "").encode().split()
                 gone = np.zeros(len(words), bool)
-                if at[i].is_valid:
-                    gone = R.covered(at[i].values.to_numpy().astype(np.int64), mask[i].values.to_numpy(), len(words), window)
+                if start[i].is_valid:
+                    gone = R.covered(start[i].values.to_numpy().astype(np.int64), n[i].values.to_numpy().astype(np.int64), len(words), window)
                 n_words.append(len(words))
                 n_removed.append(int(gone.sum()))
                 first, last = R.runs(gone)
@@ -77,8 +80,8 @@ def remove_repeated_words(docs: DataFrame, window: int = 20, base: int | None =
     sort by their text's digest, and of equal rows one counts as the first. An empty table gives none.
     """
     base = base or window // 2
-    if not 2 <= window <= 63 or not 1 <= base < window:
-        raise ValueError("window must be 2 to 63 words, base less")
+    if not 1 <= base < window:
+        raise ValueError("base must be shorter than window")
     texts, names = C.unit_texts(docs, id_col, text_col)
-    found = R.repeated_windows(texts, Words(window, base), _body, _repeated, hot_limit)
+    found = R.repeated_windows(texts, Words(window, base), _repeated, hot_limit)
     return C.named(found.mapInArrow(_apply(window), "_u long, n_words long, n_removed long, kept string, spans array<struct<first:int,last:int>>"), names)

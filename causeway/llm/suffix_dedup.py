@@ -28,16 +28,16 @@ OUT = pa.schema([("_u", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.i
 
 
 class Bytes(R.Scan):
-    def window_hashes(self, part):
-        return W.grams(BYTE[part], self.window)
+    def units(self, data, bounds):
+        return data, bounds
 
-    def pieces(self, data, bounds):
-        # a piece is hashed when it is its turn: eight bytes a position for a whole batch would be too many
-        for first, text, cut in W.pieces(bounds, self.window - 1):
-            part = data[first : first + int(cut[-1])]
-            grams = W.grams(BYTE[part], self.k)
-            at, lo, hi, doc = W.anchors(grams, cut, self.window, self.k)
-            yield part, grams, at, lo, hi, doc + text, first - bounds[doc + text] if len(doc) else at
+    def values(self, part):
+        return BYTE[part]
+
+    def body(self, part, spans, lo, hi):
+        """The bytes of the windows."""
+        n = hi - lo + self.window
+        return part[C.ranges(lo, n)], n
 
 
 def _words_at(text: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -77,8 +77,8 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray
     """The positions in `wanted`, in the order of their suffixes to `depth` bytes. text ends in `depth` + 8 zero bytes or more."""
     n = len(text)
     step = np.sign(np.diff(text.astype(np.int16)))
-    at = np.arange(n - 1)
-    nearest = np.minimum.accumulate(np.where(step != 0, at, n - 1)[::-1])[::-1]  # the next change of byte
+    at = np.arange(n - 1, dtype=np.int32)
+    nearest = np.minimum.accumulate(np.where(step != 0, at, np.int32(n - 1))[::-1])[::-1]  # the next change of byte
     smaller = np.r_[np.r_[step, 1][nearest] > 0, True]  # than its successor; the zeros at the end count as smaller
     need = np.zeros(n, bool)
     need[wanted] = True
@@ -137,11 +137,6 @@ def common_prefix_reaches(text: np.ndarray, order: np.ndarray, depth: int) -> np
     return alike
 
 
-def _body(part, whole, lo, hi, length):
-    n = hi - lo + length
-    return part[C.ranges(lo, n)], np.r_[0, np.cumsum(n)]
-
-
 def _repeated(length: int):
     def run(key, unit, start, n, data, offsets):
         sizes = np.diff(offsets)
@@ -153,20 +148,18 @@ def _repeated(length: int):
         flags = np.ones(int(n.sum()), bool)  # of equal fragments, all but the first start earlier elsewhere
         first = np.sort(first)
         text = np.r_[data[C.ranges(offsets[:-1][first], sizes[first])], np.zeros(length + 16, np.uint8)]
-        begin = np.r_[0, np.cumsum(sizes[first])][:-1]
+        begin = np.cumsum(sizes[first]) - sizes[first]
         wanted = C.ranges(begin, n[first])
-        owner = np.repeat(first, n[first])
-        slot = C.ranges((ends - n)[first], n[first])
-        at = C.ranges(start[first], n[first])
-        back = np.empty(len(text), np.int64)
-        back[wanted] = np.arange(len(wanted))
-        order = back[suffix_order(text, wanted, length)]
-        alike = common_prefix_reaches(text, wanted[order], length)
-        group = np.cumsum(np.r_[True, ~alike]) if len(order) else np.zeros(0, np.int64)
-        by = np.lexsort((at[order], unit[owner[order]], group))
-        lead = np.r_[True, group[by][1:] != group[by][:-1]] if len(by) else np.zeros(0, bool)
-        flags[slot] = True
-        flags[slot[order[by]]] = ~lead
+        # where each window stands in the corpus, as one number: the text's rank here, then the start
+        rank = np.unique(unit[first], return_inverse=True)[1]
+        stands = C.ranges(rank << 32 | start[first], n[first])
+        slot = np.empty(len(text), np.int32)
+        slot[wanted] = np.arange(len(wanted), dtype=np.int32)
+        order = suffix_order(text, wanted, length)
+        new = np.flatnonzero(np.r_[True, ~common_prefix_reaches(text, order, length)]) if len(order) else np.zeros(0, np.int64)
+        order = slot[order]
+        least = np.minimum.reduceat(stands[order], new)
+        flags[C.ranges((ends - n)[first], n[first])[order]] = stands[order] != np.repeat(least, np.diff(np.r_[new, len(order)]))
         return flags
 
     return run
@@ -176,14 +169,14 @@ def _apply(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_bytes, n_removed, kept, spans = [], [], [], []
-            at, mask = batch.column("at"), batch.column("mask")
+            start, n = batch.column("start"), batch.column("n")
             for i, text in enumerate(batch.column("text")):
                 raw = (text.as_py() or "").encode()
                 n_bytes.append(len(raw))
-                if not at[i].is_valid:
+                if not start[i].is_valid:
                     n_removed.append(0), kept.append(raw), spans.append([])
                     continue
-                gone = R.covered(at[i].values.to_numpy().astype(np.int64), mask[i].values.to_numpy(), len(raw), window)
+                gone = R.covered(start[i].values.to_numpy().astype(np.int64), n[i].values.to_numpy().astype(np.int64), len(raw), window)
                 n_removed.append(int(gone.sum()))
                 first, last = R.runs(gone)
                 spans.append([{"first": int(a), "last": int(b) - 1} for a, b in zip(first, last)])
@@ -193,7 +186,7 @@ def _apply(window: int):
     return run
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = 100, gram: int = 40, id_col: str = "doc_id", text_col: str = "text", hot_limit: int = R.HOT_LIMIT) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, length: int = 100, gram: int = 24, id_col: str = "doc_id", text_col: str = "text", hot_limit: int = R.HOT_LIMIT) -> DataFrame:
     """Remove every byte covered by a `length`-byte string that also starts earlier (smaller id, or
     the same text further left); overlapping strings count, and matches don't cross texts.
 
@@ -202,9 +195,8 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100, gram: int = 40, id
     Null or empty texts have no bytes. Null ids sort last; rows that repeat an id sort by their text's
     digest, and of equal rows one counts as the first. An empty table gives none.
     """
-    if length - gram + 1 > 62 or not 1 <= gram <= length:
-        raise ValueError("gram must be at most length, and at least length - 61")
+    if not 8 <= gram <= length:
+        raise ValueError("gram must be from 8 to length bytes")
     texts, names = C.unit_texts(docs, id_col, text_col)
-    body = lambda part, whole, lo, hi: _body(part, whole, lo, hi, length)
-    found = R.repeated_windows(texts, Bytes(length, gram), body, _repeated(length), hot_limit)
+    found = R.repeated_windows(texts, Bytes(length, gram), _repeated(length), hot_limit)
     return C.named(found.mapInArrow(_apply(length), "_u long, n_bytes long, n_removed long, kept binary, spans array<struct<first:int,last:int>>"), names)
