@@ -30,11 +30,11 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """The raw log, every column a string: bank codes keep their zeros and ids that look like numbers stay ids; an
-    empty field is '' and not null. Adds row_id, the place in the file. The header must be the known one."""
+    empty field is '' and not null. Adds row_id, the place in the file. A line with another number of fields raises. The header must be the known one."""
     if (header := read_header(spark, path)) != RAW_HEADER:
         raise ValueError(f"unknown header {header}")
     # a header line is not skipped but known by its place, so files need no option that depends on their split
-    rows = spark.read.csv(path, schema=RAW_SCHEMA, header=False, nullValue="\0", emptyValue="", encoding="UTF-8")
+    rows = spark.read.csv(path, schema=RAW_SCHEMA, header=False, mode="FAILFAST", encoding="UTF-8").na.fill("")
     from causeway.operators.joins import numbered
 
     placed = numbered(rows.withColumns({"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"), "_id": F.monotonically_increasing_id()}), [F.col("_file"), F.col("_start"), F.col("_id")], "row_id")
