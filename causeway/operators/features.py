@@ -102,6 +102,12 @@ def side(stream: DataFrame, own: bool, name: str, columns: list[str]) -> DataFra
     return stream.where(F.col("own") == own).select("row_id", *(F.col(c).alias(f"{name}_{c}") for c in columns))
 
 
+def ends(stream: DataFrame, own: str, own_columns: list[str], far: str, far_columns: list[str]) -> DataFrame:
+    """Both ends of a stream for by_row(), which puts them together: the stream is computed once."""
+    mine = [F.when(F.col("own"), F.col(c)).alias(f"{own}_{c}") for c in own_columns]
+    return stream.select("row_id", *mine, *(F.when(~F.col("own"), F.col(c)).alias(f"{far}_{c}") for c in far_columns))
+
+
 def pair_stream(t: DataFrame, p: Params = P) -> DataFrame:
     """Earlier transfers of the same pair: counts in both windows and the last minute."""
     by = ["src", "dst"]
@@ -153,10 +159,8 @@ def features(tx: DataFrame, p: Params = P) -> DataFrame:
     o, i = out_stream(t, p), in_stream(t, p)
     counts = ["n_in_band", "n_is_round", "n_is_new", *(f"n_fmt_{k}" for k in range(len(p.formats)))]
     parts = A.by_row(
-        side(o, True, "u_out", [*SUMS, *MOMENTS, *counts, "last"]),
-        side(o, False, "v_out", [*SUMS, "last"]),
-        side(i, True, "v_in", [*SUMS, *MOMENTS, "last"]),
-        side(i, False, "u_in", [*SUMS, "inflow_c", "last"]),
+        ends(o, "u_out", [*SUMS, *MOMENTS, *counts, "last"], "v_out", [*SUMS, "last"]),
+        ends(i, "v_in", [*SUMS, *MOMENTS, "last"], "u_in", [*SUMS, "inflow_c", "last"]),
         pair_stream(t, p),
         reverse_stream(t, p),
         same_format(t, p),

@@ -86,10 +86,12 @@ def scatter_gather(tx: DataFrame, p: Params = P) -> DataFrame:
     seen = e.select("src", "dst", "minute").distinct()
     plain = seen.join(F.broadcast(h), seen.src == h.acct, "left_anti")
     target = e.select("row_id", F.col("src").alias("u"), F.col("dst").alias("v"), F.col("minute").alias("m"))
-    into_v = seen.select(F.col("src").alias("x"), F.col("dst").alias("v1"), F.col("minute").alias("t1"))
-    xv = band_join(target, into_v, [("v", "v1")], "m", "t1", -w, -1, condition=(F.col("x") != F.col("u")) & (F.col("x") != F.col("v"))).select("row_id", "u", "v", "m", "x").distinct()
+    # most senders were paid by no one in the window: the transfers of the others are found first
     into_u = plain.select(F.col("src").alias("s"), F.col("dst").alias("u1"), F.col("minute").alias("t2"))
     su = band_join(target, into_u, [("u", "u1")], "m", "t2", -w, -1, condition=F.col("s") != F.col("v")).select(F.col("row_id").alias("r"), "s").distinct()
+    target = target.join(su.select(F.col("r").alias("row_id")), "row_id", "left_semi")
+    into_v = seen.select(F.col("src").alias("x"), F.col("dst").alias("v1"), F.col("minute").alias("t1"))
+    xv = band_join(target, into_v, [("v", "v1")], "m", "t1", -w, -1, condition=(F.col("x") != F.col("u")) & (F.col("x") != F.col("v"))).select("row_id", "u", "v", "m", "x").distinct()
     into_x = plain.select(F.col("src").alias("s2"), F.col("dst").alias("x1"), F.col("minute").alias("t3"))
     sx = band_join(xv, into_x, [("x", "x1")], "m", "t3", -w, -1).select("row_id", "x", "s2").distinct()
     both = sx.join(su, (F.col("row_id") == F.col("r")) & (F.col("s") == F.col("s2")))

@@ -21,8 +21,7 @@ def severities(tx: DataFrame, p: Params = P, hub_senders_excluded: bool = True)
     o, i = X.out_stream(t, p), X.in_stream(t, p)
     parts = A.by_row(
         X.side(o, True, "u_out", ["uniq_s", "n_in_band", "n_is_round", "n_high_risk"]),
-        X.side(i, True, "v_in", ["uniq_s"]),
-        X.side(i, False, "u_in", ["inflow_c"]),
+        X.ends(i, "v_in", ["uniq_s"], "u_in", ["inflow_c"]),
         cycle_counts(tx, p).select("row_id", "round_trip"),
     )
     h = F.broadcast(hubs(tx, p.hub_quantile).select(F.col("acct").alias("hub")))

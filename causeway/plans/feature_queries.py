@@ -140,7 +140,7 @@ def _balance(end: str, own: str, far: str) -> str:
 def flow_balance(tx):
     t = X.prepared(tx)
     o, i = X.out_stream(t), X.in_stream(t)
-    s = A.by_row(*(X.side(x, own, n, ["sum_l"]) for x, own, n in ((o, True, "u_out"), (o, False, "v_out"), (i, True, "v_in"), (i, False, "u_in"))))
+    s = A.by_row(X.ends(o, "u_out", ["sum_l"], "v_out", ["sum_l"]), X.ends(i, "v_in", ["sum_l"], "u_in", ["sum_l"]))
     bal = lambda e: F.when(F.col(f"{e}_out_sum_l") + F.col(f"{e}_in_sum_l") > 0, F.round((F.col(f"{e}_out_sum_l") - F.col(f"{e}_in_sum_l")) / (F.col(f"{e}_out_sum_l") + F.col(f"{e}_in_sum_l")), 6))
     return s.select("row_id", bal("u").alias("u_bal_3d"), bal("v").alias("v_bal_3d"))
 
@@ -162,7 +162,7 @@ def ports_ordinal(tx):
 def gaps(tx):
     t = X.prepared(tx)
     o, i = X.out_stream(t), X.in_stream(t)
-    s = A.by_row(t.select("row_id", "minute"), *(X.side(x, own, n, ["last"]) for x, own, n in ((o, True, "u_out"), (o, False, "v_out"), (i, True, "v_in"), (i, False, "u_in"))))
+    s = A.by_row(t.select("row_id", "minute"), X.ends(o, "u_out", ["last"], "v_out", ["last"]), X.ends(i, "v_in", ["last"], "u_in", ["last"]))
     return s.select("row_id", *(S.capped_gap(F.col("minute"), F.col(f"{e}_last"), P.cap_gap).alias(f"{e}_gap") for e in ("u_out", "u_in", "v_in", "v_out")))
 
 
@@ -191,7 +191,7 @@ def same_fmt(tx):
 def gather_scatter(tx):
     t = X.prepared(tx)
     o, i = X.out_stream(t), X.in_stream(t)
-    s = A.by_row(*(X.side(x, own, n, ["uniq_s"]) for x, own, n in ((o, True, "u_out"), (o, False, "v_out"), (i, True, "v_in"), (i, False, "u_in"))))
+    s = A.by_row(X.ends(o, "u_out", ["uniq_s"], "v_out", ["uniq_s"]), X.ends(i, "v_in", ["uniq_s"], "u_in", ["uniq_s"]))
     return s.select("row_id", *(F.least(f"{e}_in_uniq_s", f"{e}_out_uniq_s").alias(f"gs_{e}_1d") for e in "uv"))
 
 
