@@ -18,7 +18,7 @@ both("alert_lookup", "SELECT row_id, src, dst, usd_c FROM tx JOIN sc USING (row_
 both("off_plan", "WITH p AS (SELECT day, min(row_id) AS lo, max(row_id) AS hi FROM tx WHERE day % 2 = 0 GROUP BY day) SELECT count(*) AS off_plan FROM tx LEFT JOIN p ON tx.row_id BETWEEN p.lo AND p.hi WHERE p.day IS NULL")
 both("label_guard", "SELECT split, count(*) AS visible FROM tx JOIN lab USING (row_id) WHERE split IN ('train', 'val_early') GROUP BY split")
 both("majority_baseline", "SELECT round(max(n) / CAST(sum(n) AS DOUBLE), 9) AS majority, count(*) AS classes FROM (SELECT typology, count(*) AS n FROM lab WHERE typology IS NOT NULL GROUP BY typology) t")
-both("seed_pairs", "SELECT a.row_id % 5 AS seed, round(avg(a.score - b.score), 9) AS diff, count(*) AS n FROM sc a JOIN sc b ON b.row_id = a.row_id + 1 GROUP BY a.row_id % 5")
+both("seed_pairs", "SELECT a.row_id % 5 AS seed, round(avg(a.score - b.score), 9) + 0.0 AS diff, count(*) AS n FROM sc a JOIN sc b ON b.row_id = a.row_id + 1 GROUP BY a.row_id % 5")
 
 GRID = [(a, b, c) for a in (3, 5, 7) for b in (3, 5, 7) for c in (0.5, 0.9)]
 

@@ -102,12 +102,12 @@ def amt_moments(tx):
 
 
 @on_transfers(f"""WITH {EV} SELECT row_id, round(max(l) {frame('src', P.short)}, 6) AS u_out_max_1d, round(max(l) {frame('dst', P.short)}, 6) AS v_in_max_1d,
- round(l - CAST(sum(lq) {frame('src', P.short)} AS DOUBLE) / {S.LOG_UNIT}.0::DOUBLE / count(*) {frame('src', P.short)}, 4) AS u_amt_dev_1d,
- round(l - CAST(sum(lq) {frame('dst', P.short)} AS DOUBLE) / {S.LOG_UNIT}.0::DOUBLE / count(*) {frame('dst', P.short)}, 4) AS v_amt_dev_1d FROM ev""")
+ round(l - CAST(sum(lq) {frame('src', P.short)} AS DOUBLE) / {S.LOG_UNIT}.0::DOUBLE / count(*) {frame('src', P.short)}, 4) + 0.0 AS u_amt_dev_1d,
+ round(l - CAST(sum(lq) {frame('dst', P.short)} AS DOUBLE) / {S.LOG_UNIT}.0::DOUBLE / count(*) {frame('dst', P.short)}, 4) + 0.0 AS v_amt_dev_1d FROM ev""")
 def amt_max_dev(tx):
     t = X.prepared(tx)
     m = A.by_row(t.select("row_id", "l"), X.side(X.out_stream(t), True, "u_out", ["cnt_s", "lq_s", "max_s"]), X.side(X.in_stream(t), True, "v_in", ["cnt_s", "lq_s", "max_s"]))
-    dev = lambda e: F.round(F.col("l") - X.mean(f"{e}_cnt_s", f"{e}_lq_s"), 4)
+    dev = lambda e: F.round(F.col("l") - X.mean(f"{e}_cnt_s", f"{e}_lq_s"), 4) + 0.0
     return m.select("row_id", F.round("u_out_max_s", 6).alias("u_out_max_1d"), F.round("v_in_max_s", 6).alias("v_in_max_1d"), dev("u_out").alias("u_amt_dev_1d"), dev("v_in").alias("v_amt_dev_1d"))
 
 
@@ -129,7 +129,7 @@ def flow_inflow(tx):
 
 
 def _balance(end: str, own: str, far: str) -> str:
-    return f"CASE WHEN {own} + {far} > 0 THEN round(({own} - {far}) / CAST({own} + {far} AS DOUBLE), 6) END AS {end}_bal_3d"
+    return f"CASE WHEN {own} + {far} > 0 THEN round(({own} - {far}) / CAST({own} + {far} AS DOUBLE), 6) + 0.0 END AS {end}_bal_3d"
 
 
 @on_transfers(f"""WITH {EV}, o AS (SELECT row_id, coalesce(CAST(sum(usd_c) {frame('src', P.long)} AS BIGINT), 0) AS uo, coalesce(CAST(sum(usd_c) {frame('dst', P.long)} AS BIGINT), 0) AS vi FROM ev),
@@ -141,7 +141,7 @@ def flow_balance(tx):
     t = X.prepared(tx)
     o, i = X.out_stream(t), X.in_stream(t)
     s = A.by_row(X.ends(o, "u_out", ["sum_l"], "v_out", ["sum_l"]), X.ends(i, "v_in", ["sum_l"], "u_in", ["sum_l"]))
-    bal = lambda e: F.when(F.col(f"{e}_out_sum_l") + F.col(f"{e}_in_sum_l") > 0, F.round((F.col(f"{e}_out_sum_l") - F.col(f"{e}_in_sum_l")) / (F.col(f"{e}_out_sum_l") + F.col(f"{e}_in_sum_l")), 6))
+    bal = lambda e: F.when(F.col(f"{e}_out_sum_l") + F.col(f"{e}_in_sum_l") > 0, F.round((F.col(f"{e}_out_sum_l") - F.col(f"{e}_in_sum_l")) / (F.col(f"{e}_out_sum_l") + F.col(f"{e}_in_sum_l")), 6) + 0.0)
     return s.select("row_id", bal("u").alias("u_bal_3d"), bal("v").alias("v_bal_3d"))
 
 

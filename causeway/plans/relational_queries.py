@@ -26,7 +26,7 @@ both("window_lag_lead", "SELECT o_orderkey, lag(o_totalprice) OVER (PARTITION BY
 both("window_rows_frame", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS most FROM orders")
 both("top_per_group", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS nth FROM orders) t WHERE nth <= 2")
 both("top_n", "SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 10")
-both("scalar_subquery", "SELECT c_custkey, round(c_acctbal - (SELECT avg(c_acctbal) FROM customer), 6) AS above FROM customer WHERE c_acctbal > (SELECT percentile_disc(0.9) WITHIN GROUP (ORDER BY c_acctbal) FROM customer)")
+both("scalar_subquery", "SELECT c_custkey, round(c_acctbal - (SELECT avg(c_acctbal) FROM customer), 6) + 0.0 AS above FROM customer WHERE c_acctbal > (SELECT percentile_disc(0.9) WITHIN GROUP (ORDER BY c_acctbal) FROM customer)")
 both("correlated_subquery", "SELECT p_partkey FROM part p WHERE p_retailprice > (SELECT avg(q.p_retailprice) FROM part q WHERE q.p_brand = p.p_brand)")
 both("distinct_counts", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_returnflag")
 both("conditional_aggregates", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count_if(o_totalprice > 100000) AS large, CAST(sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS o FROM orders GROUP BY o_orderpriority")
@@ -51,11 +51,11 @@ def json_functions(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query("SELECT vec_id, len(embedding) AS n, round(list_sum(embedding), 3) AS s, label FROM embeddings")
+@query("SELECT vec_id, len(embedding) AS n, round(list_sum(embedding), 3) + 0.0 AS s, label FROM embeddings")
 def array_functions(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return e.select("vec_id", F.size("embedding").alias("n"), F.round(total, 3).alias("s"), "label")
+    return e.select("vec_id", F.size("embedding").alias("n"), (F.round(total, 3) + 0.0).alias("s"), "label")
 
 
 @query("SELECT user_id, len(list(DISTINCT event_type)) AS kinds, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS names FROM events GROUP BY user_id")
