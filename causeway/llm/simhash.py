@@ -284,7 +284,8 @@ def near_copies(texts: DataFrame, words: int = 5, tables: int = TABLES, word_bit
     found = components(links)
     named = prints.select("_u", "fp").join(found.withColumnRenamed("node", "fp"), "fp", "left").select("_u", F.coalesce("component", "fp").alias("c"))
     named = C.cut(named)
-    least = named.groupBy("c").agg(F.min("_u").alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    # written by itself, so that the join below gets plain rows, which Spark can split where a group is very large
+    least = C.cut(named.groupBy("c").agg(F.min("_u").alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))
     return named.join(least, "c").select("_u", "first")
 
 
