@@ -39,12 +39,12 @@ def paths(e: DataFrame, h: DataFrame, hop: int) -> tuple[DataFrame, DataFrame]:
     equal minutes allowed; no hub inside; parallel edges multiply. (a, b, t1, t2): first and last account and
     minute. Only paths that some transfer closes are kept."""
     closed = closed_pairs(e)
-    to_plain = e.join(F.broadcast(h), e.dst == h.acct, "left_anti")
-    from_plain = e.join(F.broadcast(h), e.src == h.acct, "left_anti")
+    to_plain = e.join(h, e.dst == h.acct, "left_anti")
+    from_plain = e.join(h, e.src == h.acct, "left_anti")
     first = to_plain.select(F.col("src").alias("a"), F.col("dst").alias("w"), F.col("minute").alias("t1"))
     last = from_plain.select(F.col("src").alias("s"), F.col("dst").alias("b"), F.col("minute").alias("t2"))
     two = band_join(first, last, [("w", "s")], "t1", "t2", 0, hop, condition=F.col("a") != F.col("b"))
-    middle = from_plain.join(F.broadcast(h), from_plain.dst == h.acct, "left_anti").select(F.col("src").alias("s"), F.col("dst").alias("w2"), F.col("minute").alias("tm"))
+    middle = from_plain.join(h, from_plain.dst == h.acct, "left_anti").select(F.col("src").alias("s"), F.col("dst").alias("w2"), F.col("minute").alias("tm"))
     half = band_join(first, middle, [("w", "s")], "t1", "tm", 0, hop, condition=F.col("a") != F.col("w2")).select("a", "w", "w2", "t1", "tm")
     three = band_join(half, last, [("w2", "s")], "tm", "t2", 0, hop, condition=(F.col("a") != F.col("b")) & (F.col("w") != F.col("b")))
     keep = lambda p: p.join(closed, ["a", "b"], "left_semi").select("a", "b", "t1", "t2")
@@ -84,7 +84,7 @@ def scatter_gather(tx: DataFrame, p: Params = P) -> DataFrame:
     non-hub s that also paid u, all in the window; and the number of such s. Counts are capped."""
     e, h, w = edges(tx), hubs(tx, p.hub_quantile), p.scatter
     seen = e.select("src", "dst", "minute").distinct()
-    plain = seen.join(F.broadcast(h), seen.src == h.acct, "left_anti")
+    plain = seen.join(h, seen.src == h.acct, "left_anti")
     target = e.select("row_id", F.col("src").alias("u"), F.col("dst").alias("v"), F.col("minute").alias("m"))
     # most senders were paid by no one in the window: the transfers of the others are found first
     into_u = plain.select(F.col("src").alias("s"), F.col("dst").alias("u1"), F.col("minute").alias("t2"))

@@ -24,7 +24,7 @@ def severities(tx: DataFrame, p: Params = P, hub_senders_excluded: bool = True)
         X.ends(i, "v_in", ["uniq_s"], "u_in", ["inflow_c"]),
         cycle_counts(tx, p).select("row_id", "round_trip"),
     )
-    h = F.broadcast(hubs(tx, p.hub_quantile).select(F.col("acct").alias("hub")))
+    h = hubs(tx, p.hub_quantile).select(F.col("acct").alias("hub"))  # a share of all accounts: Spark sees to its size
     s = t.join(parts, "row_id").join(h, t.src == F.col("hub"), "left")
     hub = F.col("hub").isNotNull() & F.lit(hub_senders_excluded)
     burst = lambda flag, n: F.when(F.col(flag) & ~hub, F.col(n) + 1).otherwise(0)
