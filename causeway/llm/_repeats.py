@@ -34,6 +34,8 @@ FRAGMENT = pa.schema([("key", pa.int64()), ("unit", pa.int64()), ("start", pa.in
 RUN = pa.schema([("unit", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 #: Bytes of fragments that are compared at a time; anchors are not split.
 SLICE = 4 << 20
+#: Bytes of texts that are cut into units at a time; a longer text is by itself.
+GROUP = 2 << 20
 
 
 def ddl(schema: pa.Schema) -> str:
@@ -69,13 +71,17 @@ class Scan:
         raise NotImplementedError
 
     def pieces(self, data: np.ndarray, bounds: np.ndarray):
-        units, within = self.units(data, bounds)
-        for first, text, cut in W.pieces(within, self.window - 1):
-            part = units[first : first + int(cut[-1])]
-            values = self.values(part)
-            grams = W.grams(values, self.k)
-            at, lo, hi, doc = W.anchors(grams, cut, self.window, self.k)
-            yield part, values, grams, at, lo, hi, doc + text, first - within[doc + text] if len(doc) else at
+        a, n = 0, len(bounds) - 1
+        while a < n:  # some texts at a time: their units take many times their bytes
+            b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + GROUP, "right")) - 1)
+            units, within = self.units(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
+            for first, text, cut in W.pieces(within, self.window - 1):
+                part = units[first : first + int(cut[-1])]
+                values = self.values(part)
+                grams = W.grams(values, self.k)
+                at, lo, hi, doc = W.anchors(grams, cut, self.window, self.k)
+                yield part, values, grams, at, lo, hi, doc + text + a, first - within[doc + text] if len(doc) else at
+            a = b
 
 
 def find_anchors(scan: Scan) -> Callable:
