@@ -219,7 +219,8 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def exact_copies(texts: DataFrame) -> DataFrame:
     """(_u) of the texts that are equal to one with a smaller _u; only digests are shuffled."""
     digests = texts.select("_u", F.sha2("text", 256).alias("d"))
-    first = digests.groupBy("d").agg(F.min("_u").alias("first"), F.count("*").alias("c")).where("c > 1")
+    # written by itself, so that the join gets plain rows, which Spark can split where very many texts are equal
+    first = C.cut(digests.groupBy("d").agg(F.min("_u").alias("first"), F.count("*").alias("c")).where("c > 1"))
     return digests.join(first, "d").where("_u > first").select("_u")
 
 
