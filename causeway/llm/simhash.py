@@ -94,18 +94,13 @@ def anchors_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of columns fp, or f0, f1, ... and fp: rows (anchor, fp), or (anchor, f, fp), for each anchor of each fingerprint; a
-    home has the odd number."""
+    """Rows (anchor, fp) for each anchor of each fingerprint; a home has the odd number."""
     for batch in batches:
-        columns = [c.to_numpy().view(np.uint64) for c in batch.columns]
-        for a in range(0, len(batch), 10_000):
-            fp = columns[-1][a : a + 10_000]
-            for table, f in enumerate(columns[:-1] or columns):
-                f = f[a : a + 10_000]
-                key, owner, home = anchors_of(f)
-                key |= np.uint64(table << 40)
-                names = ["anchor", "f", "fp"] if len(columns) > 1 else ["anchor", "fp"]
-                yield pa.RecordBatch.from_arrays([C.longs(key << np.uint64(1) | home), *([C.longs(f[owner])] if len(columns) > 1 else []), C.longs(fp[owner])], names=names)
+        every = batch.column(0).to_numpy().view(np.uint64)
+        for a in range(0, len(every), 10_000):
+            fp = every[a : a + 10_000]
+            key, owner, home = anchors_of(fp)
+            yield pa.RecordBatch.from_arrays([C.longs(key << np.uint64(1) | home), C.longs(fp[owner])], names=["anchor", "fp"])
 
 
 class _Forest:
@@ -153,12 +148,9 @@ def _spread(members: np.ndarray, near):
             front = np.concatenate(found) if found else front[:0]
 
 
-def _compare(threshold: int, most: int = BLOCK, wide: int | None = None):
-    """wide: rows have the column f, too; of it at most `wide` bits may differ, and of fp at most `threshold`."""
-
+def _compare(threshold: int, most: int = BLOCK):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "fp"] if wide is None else ["anchor", "f", "fp"]
-        t = C.gathered(batches, pa.schema([(c, pa.int64()) for c in names]))
+        t = C.gathered(batches, pa.schema([("anchor", pa.int64()), ("fp", pa.int64())]))
         if not len(t):
             return
         anchor = C.array_of(t, "anchor").view(np.uint64)
@@ -166,11 +158,9 @@ def _compare(threshold: int, most: int = BLOCK, wide: int | None = None):
         order = np.argsort(anchor, kind="stable")
         home, key, fp = (anchor[order] & np.uint64(1)).astype(bool), anchor[order] >> np.uint64(1), fp[order]
         value = own[fp]
-        f = None if wide is None else C.array_of(t, "f").view(np.uint64)[order]
 
         def near(i, j):
-            ok = np.bitwise_count(value[i] ^ value[j]) <= threshold
-            return ok if f is None else ok & (np.bitwise_count(f[i] ^ f[j]) <= wide)
+            return np.bitwise_count(value[i] ^ value[j]) <= threshold
 
         new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[new, len(key)])
@@ -233,56 +223,184 @@ def simhash_components(docs: DataFrame, words: int = 3, threshold: int = THRESHO
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: For near copies at a similarity of 0.8 of their sets of five-word shingles: as many fingerprints of the set of
-#: words; the bits of one of them that may differ; and of the shingles' own fingerprint. Two texts of similarity
-#: s have shingle sets at the angle acos(2 s / (1 + s)), which at 0.8 is 9.7 of 64 bits, give or take 2.9.
-TABLES, WORD_BITS, SHINGLE_BITS = 4, 10, 12
-
-
-def _majority(h: np.ndarray) -> int:
-    counts = np.zeros(64, np.int64)
-    for a in range(0, len(h), 1 << 15):
-        counts += np.unpackbits(h[a : a + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0]) if len(h) else 0
+#: Near copies share at least LIKE[0] / LIKE[1] of the union of their sets of shingles.
+LIKE = 4, 5
+#: Texts that tell which shingles are common, and the number of them that makes a shingle common.
+SAMPLE, COMMON = 10_000, 10
 
 
-def set_fingerprints(text: str | None, words: int = 5, tables: int = TABLES) -> list[int]:
-    """`tables` SimHashes of the set of a text's words and one of the set of its shingles of `words` words (a shorter
-    text is one shingle; without words all are 0). A-Z count as a-z."""
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """Sorted hashes of a text's shingles of `words` words (a shorter text is one shingle; without words, none). A-Z count as a-z."""
     data = np.frombuffer((text or "").encode(), np.uint8)
     starts, ends, _ = W.words(data, np.array([0, len(data)]))
     h = W.word_hashes(data, starts, ends, lower=True)
-    if not len(h):
-        return [0] * (tables + 1)
-    own = np.unique(h)
-    shingles = np.unique(W.grams(h, min(words, len(h))))
-    return [*(_majority(W.scramble(own + np.uint64(0x9E3779B97F4A7C15 * (i + 1) % (1 << 64)))) for i in range(tables)), _majority(shingles)]
+    return np.unique(W.grams(h, min(words, len(h)))) if len(h) else np.zeros(0, np.uint64)
+
+
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 256):
+                part = batch.slice(a, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py(), words).tobytes() for t in part.column(1)], pa.binary())], names=["node", "shingles"])
+
+    return run
 
 
-def _set_fingerprints(words: int, tables: int):
+def _shingles(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([set_fingerprints(t.as_py(), words, tables) for t in batch.column(1)], np.uint64).reshape(len(batch), tables + 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(C.longs(prints[:, i]) for i in range(tables + 1))], names=["_u", *(f"f{i}" for i in range(tables)), "fp"])
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([C.longs(shingle_set(t.as_py(), words))], names=["shingle"])
+
+    return run
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first shingles in one order for all sets (common ones last), as many as two sets of a similarity of LIKE or
+    more need to have one of them in common."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    k = n - -(-n * LIKE[0] // LIKE[1]) + 1
+    last = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles if len(common) else np.zeros(n, bool)
+    return np.concatenate([shingles[~last], shingles[last]])[:k] if last.any() else shingles[:k]
+
+
+def _prefixes(words: int, common: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, firsts = np.zeros(len(batch), np.uint64), np.zeros(len(batch), np.int64), []
+            for k, t in enumerate(batch.column(1)):
+                own = shingle_set(t.as_py(), words)
+                nodes[k], sizes[k] = xxhash.xxh3_64_intdigest(own.tobytes()), len(own)
+                firsts.append(prefix(own, common).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), C.longs(nodes), C.longs(sizes), pa.array(firsts, pa.binary())], names=["_u", "node", "size", "prefix"])
+
+    return run
+
+
+def _by_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (node, size, prefix): (shingle, node, size) for each shingle of the prefix."""
+    for batch in batches:
+        for a in range(0, len(batch), 1024):
+            part = batch.slice(a, 1024)
+            data, bounds = C.text_bytes(part.column(2))
+            n = np.diff(bounds) // 8
+            columns = [np.frombuffer(data.tobytes(), np.uint64), *(np.repeat(part.column(k).to_numpy(), n) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays([C.longs(c) for c in columns], names=["shingle", "node", "size"])
+
+
+MET, PAIRS = "shingle long, node long, size long", "a long, b long, need long, n long"
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose shingle has other rows, too."""
+    t = C.gathered(batches, pa.schema([(c.split()[0], pa.int64()) for c in MET.split(", ")]))
+    if len(t):
+        _, at, n = np.unique(C.array_of(t, "shingle"), return_inverse=True, return_counts=True)
+        yield from t.filter(pa.array(n[at] > 1)).combine_chunks().to_batches()
+
+
+def _suffix(size: np.ndarray) -> np.ndarray:
+    """How many shingles of a set are beyond its prefix."""
+    return -(-size * LIKE[0] // LIKE[1]) - 1
+
+
+def _candidates(star: bool, most: int = BLOCK):
+    """Pairs a < b of nodes, with the number n of shingles at which they meet here and the number that they need at least
+    to be similar: what else two sets have in common is beyond the prefix that ends first. star: of each shingle, its
+    least node with the others; else all pairs of different components (column c)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["shingle", "node", "size", *([] if star else ["c"])]
+        t = C.gathered(batches, pa.schema([(c, pa.int64()) for c in names]))
+        if not len(t):
+            return
+        shingle, node, size, *c = (C.array_of(t, x) for x in names)
+        order = np.lexsort([node, *c, shingle])
+        shingle, node, size, *c = (x[order] for x in (shingle, node, size, *c))
+        own, first, node = np.unique(node, return_index=True, return_inverse=True)
+        size = size[first]
+        new = np.r_[True, shingle[1:] != shingle[:-1]]
+        ends = lambda new: np.r_[np.flatnonzero(new)[1:], len(new)][np.cumsum(new) - 1]
+        end = ends(new)
+        if star:
+            begin, rows = np.arange(1, len(node) + 1), np.flatnonzero(new)
+        else:
+            begin, rows = ends(new | np.r_[True, c[0][1:] != c[0][:-1]]), np.arange(len(node))
+        rows = rows[end[rows] > begin[rows]]
+        n = end[rows] - begin[rows]
+        pairs, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        block = (np.cumsum(n) - 1) // most if len(n) else n
+        for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(block)) + 1) if len(rows) else []:
+            i, j = node[np.repeat(rows[part], n[part])], node[C.ranges(begin[rows[part]], n[part])]
+            ok = np.minimum(size[i], size[j]) * LIKE[1] >= np.maximum(size[i], size[j]) * LIKE[0]
+            i, j = i[ok], j[ok]
+            more, n_more = np.unique(np.minimum(i, j) * len(own) + np.maximum(i, j), return_counts=True)
+            pairs, at = np.unique(np.concatenate([pairs, more]), return_inverse=True)
+            times = np.bincount(at, np.concatenate([times, n_more]), len(pairs)).astype(np.int64)
+        if len(pairs):
+            i, j = pairs // len(own), pairs % len(own)
+            need = -(-(size[i] + size[j]) * LIKE[0] // sum(LIKE)) - np.maximum(_suffix(size[i]), _suffix(size[j]))
+            yield pa.RecordBatch.from_arrays([C.longs(x) for x in (own[i], own[j], need, times)], names=["a", "b", "need", "n"])
 
     return run
 
 
-def near_copies(texts: DataFrame, words: int = 5, tables: int = TABLES, word_bits: int = WORD_BITS, shingle_bits: int = SHINGLE_BITS) -> DataFrame:
+def _likely(met: DataFrame, star: bool) -> DataFrame:
+    return met.mapInArrow(_candidates(star), PAIRS).groupBy("a", "b", "need").agg(F.sum("n").alias("n")).where("n >= need").select("a", "b")
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both * LIKE[1] >= (len(x) + len(y) - both) * LIKE[0]
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [[np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(k)] for k in (2, 3)]
+        yield batch.select(["a", "b"]).filter(pa.array([similar(x, y) for x, y in zip(*sets)], pa.bool_()))
+
+
+def near_copies(texts: DataFrame, words: int = 5) -> DataFrame:
     """texts: (_u, text), _u unique. Returns (_u, first): of each text with near copies, the smallest _u among them.
 
-    Texts are near copies if the SimHashes of their sets of five-word shingles differ in at most `shingle_bits`
-    bits. Candidates meet at the anchors of several SimHashes of their sets of words, which few edits
-    leave almost alone: those with at most 3 differing bits in one of them surely do, and most of those whose
-    similarity is 0.8 or more. Texts without a word are copies of each other.
+    Texts are near copies if the Jaccard similarity of their sets of five-word shingles is 0.8 or more, and by chains of
+    such pairs. The search is exact: two such sets share one of the first shingles of each (see prefix), whatever the order.
+    Pairs that meet there often enough are verified by the whole sets, first those of each shingle's least node, then all whose nodes
+    these didn't join, so a large group of near copies costs its size and not its square. Texts with equal sets are one
+    node; texts without a word are copies of each other.
     """
-    fs = [f"f{i}" for i in range(tables)]
-    prints = C.cut(texts.mapInArrow(_set_fingerprints(words, tables), f"_u long, {', '.join(f'{f} long' for f in fs)}, fp long"))
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    copies = prints.select(*fs, "fp").distinct().repartition(n).mapInArrow(_replicate, "anchor long, f long, fp long")
-    links = copies.repartition(n, F.shiftright("anchor", 1)).mapInArrow(_compare(shingle_bits, wide=word_bits), "a long, b long").distinct()
-    found = components(links)
-    named = prints.select("_u", "fp").join(found.withColumnRenamed("node", "fp"), "fp", "left").select("_u", F.coalesce("component", "fp").alias("c"))
+    total = texts.count()
+    # a sample decides only on the order, which no result depends on
+    some = texts.where(F.pmod(F.xxhash64("_u"), F.lit(max(1, total // SAMPLE))) == 0).select("text")
+    often = some.mapInArrow(_shingles(words), "shingle long").groupBy("shingle").count().where(F.col("count") >= COMMON).select("shingle")
+    common = np.sort(often.toArrow().column(0).to_numpy().view(np.uint64))
+    prints = C.cut(texts.mapInArrow(_prefixes(words, common), "_u long, node long, size long, prefix binary"))
+    nodes = prints.dropDuplicates(["node"]).select("node", "size", "prefix")
+    # its partitions stay as written, with all rows of a shingle in one
+    met = C.cut(nodes.mapInArrow(_by_shingle, MET).repartition(n, "shingle").mapInArrow(_shared, MET))
+    firsts = C.cut(prints.groupBy("node").agg(F.min("_u").alias("_first")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(firsts, "node")
+        sets = C.cut(texts.join(used, F.col("_u") == F.col("_first")).select("node", "text").mapInArrow(_sets(words), "node long, shingles binary"))
+        of = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"s{end}"))
+        return C.cut(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_verified, "a long, b long"))
+
+    stars = C.cut(_likely(met, True))
+    links = verified(stars)
+    joined = C.cut(components(links))
+    apart = met.join(joined, "node", "left").select("shingle", "node", "size", F.coalesce("component", "node").alias("c"))
+    others = _likely(apart.repartition(n, "shingle"), False)
+    others = C.cut(others.join(stars, ["a", "b"], "left_anti"))
+    if not others.isEmpty():
+        more = verified(others)
+        if not more.isEmpty():
+            joined = C.cut(components(links.union(more)))
+    named = prints.select("_u", "node").join(joined, "node", "left").select("_u", F.coalesce("component", "node").alias("c"))
     named = C.cut(named)
     # written by itself, so that the join below gets plain rows, which Spark can split where a group is very large
     least = C.cut(named.groupBy("c").agg(F.min("_u").alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))

@@ -85,3 +85,41 @@ def test_unlike_documents_stay(spark):
     df = spark.createDataFrame([(i, good(r) + " " + good(r) + " " + good(r)) for i in range(400)], "doc_id long, text string")
     kept = S.keep_one_of_each(df).count()
     assert kept >= 396  # a few of these are very short
+
+
+def test_near_copies_equal_brute_force(spark):
+    """Families around a similarity of 0.8, with lines in common: every pair at 0.8 is found and no other."""
+    r = random.Random(8)
+    line = [f"common{k}" for k in range(30)]
+    texts = []
+    for _ in range(40):
+        size = r.choice([3, 7, 12, 40, 90, 300])
+        base = [f"v{r.randint(0, 9000)}" for _ in range(size)]
+        for _ in range(6):
+            words = list(base)
+            for _ in range(r.randint(0, max(1, size // 25))):
+                words[r.randrange(len(words))] = f"e{r.randint(0, 10**6)}"
+            texts.append(" ".join(words + line if r.random() < 0.3 else words))
+    # templates: like each other at 0.5 to 0.8, but no near copies
+    frame = [f"t{k}" for k in range(100)]
+    texts += [" ".join(frame[:60] + [f"x{i}.{k}" for k in range(20)] + frame[60:]) for i in range(30)]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    likes = []
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            likes.append(both / (len(sets[i]) + len(sets[j]) - both))
+            if likes[-1] >= 0.8:
+                x, y = root(i), root(j)
+                up[max(x, y)] = min(x, y)
+    assert sum(0.5 <= x < 0.8 for x in likes) > 300 and sum(0.8 <= x < 0.9 for x in likes) > 30
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = {i for i in range(len(texts)) if root(i) == i}
+    assert {x.doc_id for x in S.keep_one_of_each(df).collect()} == want
