@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from causeway.llm import substring_dedup as D
 from causeway.llm import suffix_dedup as S
-from causeway.llm.substring_dedup import remove_repeated_words
+from causeway.llm.substring_dedup import level_counts, lengths, remove_repeated_words
 from causeway.llm.suffix_dedup import remove_repeated_bytes
 
 
@@ -41,11 +43,11 @@ def brute(units, window):
     return out
 
 
-@pytest.mark.parametrize("hot", [10_000, 1])
-def test_words(spark, hot):
+@pytest.mark.parametrize("sizes", [{}, {"partition": 2000, "hashes": 50}, {"base": 1}, {"base": 20}, {"base": 7}])
+def test_words(spark, sizes):
     docs = corpus(1)
     df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, kept string").repartition(5)
-    got = {r.doc_id: r for r in remove_repeated_words(df, hot_limit=hot).collect()}
+    got = {r.doc_id: r for r in remove_repeated_words(df, **sizes).collect()}
     ordered = sorted(docs)
     units = [(t or "").encode().split() for _, t in ordered]
     assert len(got) == len(docs)
@@ -58,6 +60,75 @@ def test_words(spark, hot):
     assert removed > 500
 
 
+def doubling(units, base):
+    """Windows of base, 2 base, ... units: those met, among candidates, and those met twice or more, until none is."""
+    out, length, again = [], base, None
+    while True:
+        seen = {}
+        for t in units:
+            for i in range(len(t) - length + 1):
+                a, b = tuple(t[i : i + length // 2]), tuple(t[i + length // 2 : i + length])
+                if again is None or (a in again and b in again):
+                    key = tuple(t[i : i + length])
+                    seen[key] = seen.get(key, 0) + 1
+        again = {k for k, n in seen.items() if n > 1}
+        out.append((length, len(seen), len(again)))
+        if not again:
+            return out
+        length *= 2
+
+
+def test_levels_double_until_none_survives(spark):
+    docs = corpus(3)
+    units, seen = [], set()
+    for _, t in sorted(docs):
+        units += [] if t in seen else [(t or "").encode().split()]
+        seen.add(t)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in level_counts(df, 5, partition=4000).collect()]
+    assert got == doubling(units, 5) and len(got) >= 4 and got[-1][2] == 0
+    assert lengths(20, 5) == [5, 10, 20] and lengths(50, 7) == [7, 14, 28, 50] and lengths(4, 5) == [4]
+    assert [tuple(r) for r in level_counts(df.limit(0)).collect()] == [(5, 0, 0)]
+
+
+@pytest.mark.parametrize("chunk,piece", [(300, 60), (4000, 45), (1 << 20, 1 << 20)])
+def test_levels_in_chunks_and_pieces(monkeypatch, chunk, piece):
+    """The tasks' own code, over many small chunks, texts cut into pieces, and batches cut elsewhere."""
+    monkeypatch.setattr(D, "CHUNK", chunk)
+    monkeypatch.setattr(D, "PIECE", piece)
+    docs = sorted((i, t) for i, t in corpus(4) if t)
+    first = {}
+    copy = [None if first.setdefault(t, i) == i else True for i, t in docs]
+    tasks = [[k for k in range(len(docs)) if k % 3 == p] for p in range(3)]
+    found = pa.list_(pa.struct([("chunk", pa.int32()), ("part", pa.int32()), ("keys", pa.binary())]))
+
+    def rows(told, size):
+        for task in tasks:
+            heard = [{"chunk": c, "part": p, "keys": k} for r, c, p, k in told if r == docs[task[0]][0]]
+            t = pa.table({"_u": pa.array([docs[k][0] for k in task], pa.int64()), "text": pa.array([docs[k][1] for k in task], pa.string()), "copy": pa.array([copy[k] for k in task], pa.bool_()), "found": pa.array([heard, *[None] * (len(task) - 1)], found)})
+            yield iter(t.to_batches(max_chunksize=size))
+
+    told, before = [], None
+    for length in (5, 10, 20):
+        sent = [b for k, task in enumerate(rows(told, 4 + before if before else 3)) for b in D.send(length, before, 20, 7)(task)]
+        answers = [b for b in D.count(length == 20)(iter(sent))]
+        told = [(r["route"], r["chunk"], r["part"], r["keys"]) for b in answers for r in b.to_pylist() if r["route"] is not None]
+        before = length
+    got = {r["_u"]: r for task in rows(told, 9) for b in D._finish(20)(task) for r in b.to_pylist()}
+    units = [t.encode().split() for _, t in docs]
+    for (i, _), words, gone in zip(docs, units, brute(units, 20)):
+        assert got[i]["kept"] == b" ".join(w for w, g in zip(words, gone) if not g).decode()
+        assert got[i]["n_removed"] == sum(gone) == sum(s["last"] - s["first"] + 1 for s in got[i]["spans"])
+
+
+def test_packed_numbers():
+    r = np.random.default_rng(1)
+    for top in (1, 255, 1 << 20, 1 << 32, 1 << 64):
+        a = np.sort(r.integers(0, top, 500, np.uint64, endpoint=top < 1 << 64))
+        assert (D.unpacked(D.packed(a)) == a).all()
+    assert len(D.unpacked(D.packed(np.zeros(0, np.uint64)))) == 0
+
+
 @pytest.mark.parametrize("hot", [10_000, 1])
 def test_bytes(spark, hot):
     docs = corpus(2)
