@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -17,11 +18,27 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; only a session
-    without that setting (a local test) gets a temporary one."""
-    if spark.sparkContext.getCheckpointDir() is None:
+    """Use the folder that the cluster names in spark.checkpoint.dir. Only a session on a local master (a test)
+    gets a temporary one; on a cluster, where executors don't see it, a missing setting raises."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="causeway-checkpoint-"))
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="causeway-checkpoint-"))
+
+
+def free(name: str, columns: list[str]) -> str:
+    """A name for a helper column that no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def partitions(spark: SparkSession, size: int, most: int) -> int:
+    """Partitions for `size` rows or bytes, with about `most` in each at most; no fewer than the session's setting."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // most))
 
 
 def cut(df: DataFrame) -> DataFrame:
