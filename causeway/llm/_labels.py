@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from causeway.llm import _windows as W
 from causeway.llm._common import gathered
 
 
@@ -59,8 +60,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60
     return w
 
 
-def folds(texts: list[bytes], parts: int = 4) -> np.ndarray:
-    """A fold for each text; texts that begin alike share one, so copies don't vouch for each other."""
-    from zlib import crc32
-
-    return np.array([crc32(t[:60]) % parts for t in texts])
+def folds(texts: list[bytes], parts: int = 4, words: int = 5) -> np.ndarray:
+    """A fold for each text, by the least hash among its shingles of some words, so equal texts share one, and near copies
+    do as often as their shingles are the same: copies don't vouch for each other. What texts begin with is no matter."""
+    out = np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        data = np.frombuffer(text, np.uint8)
+        starts, ends, _ = W.words(data, np.array([0, len(data)]))
+        h = W.word_hashes(data, starts, ends, lower=True)
+        if len(h):
+            out[i] = int(W.grams(h, min(words, len(h))).min()) % 1_000_003 % parts
+    return out
