@@ -1,4 +1,4 @@
-"""The distributed frame in which both exact-substring operators run.
+"""The distributed frame in which exact-substring dedup runs.
 
 0. Of equal texts, all but the first are repeats of it; only the first gives fragments.
 1. Every text gives its anchors (see _windows); anchors met once in the whole corpus drop out.
@@ -32,6 +32,8 @@ ANCHOR = pa.schema([("key", pa.int64()), ("local", pa.int32()), ("unit", pa.int6
 FOUND = pa.schema([("unit", pa.int64()), ("pos", pa.int32()), ("key", pa.int64()), ("met", pa.int64())])
 FRAGMENT = pa.schema([("key", pa.int64()), ("unit", pa.int64()), ("start", pa.int32()), ("n", pa.int16()), ("body", pa.binary())])
 RUN = pa.schema([("unit", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+#: Bytes of texts whose anchors or fragments make one partition; fragments take up to twice that.
+PARTITION = 64 << 20
 #: Bytes of fragments that are compared at a time; anchors are not split.
 SLICE = 4 << 20
 #: Bytes of texts that are cut into units at a time; a longer text is by itself.
@@ -228,7 +230,7 @@ def repeated_windows(texts: DataFrame, scan: Scan, repeated: Callable, hot_limit
     """texts: (_u, text). Returns texts with start and n, the first and the number of the windows of each run
     that starts earlier elsewhere; null where a text has none. Both joins are left joins of the same texts, so Spark
     deals the texts out once and uses that twice."""
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = C.partitions(texts.sparkSession, texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0, PARTITION)
     found = texts.mapInArrow(find_anchors(scan), ddl(ANCHOR)).repartition(n, "key").mapInArrow(keep_repeated, ddl(FOUND))
     found = C.cut(found)
     limit = max(hot_limit, found.count() // MAX_HOT)  # so no more than MAX_HOT anchors are over it

@@ -47,7 +47,8 @@ def ranked(sources: DataFrame) -> DataFrame:
 def source_targets(sources: DataFrame, weights=(5, 2, 1), share: float = 1.0, most: int = 3) -> DataFrame:
     """sources: (source, source_size). Adds target: sources by code point, null last, weigh `weights`,
     repeating, and share `share` of all sizes; no target is above `most` times its source, the excess
-    goes to the others by weight. Only the level at which the rest is shared is kept between rounds."""
+    goes to the others by weight. Only the level at which the rest is shared is kept between rounds; each round
+    is one sum over the sources and closes one of them at least, so there are no more rounds than sources, and few where few are over."""
     place = F.element_at(F.array(*(F.lit(int(w)) for w in weights)), (F.pmod(F.col("place"), F.lit(len(weights))) + 1).cast("int"))
     s = C.cut(ranked(sources).withColumn("weight", place))
     total, weight = s.agg(F.sum("source_size"), F.sum("weight")).first()
@@ -100,11 +101,13 @@ def thresholds(sized: DataFrame, budgets: DataFrame, small: bool) -> DataFrame:
 
 def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.0, most: int = 3, seed: str = "mix:", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs with size (words in the text), source_size (of its source), target (its source's), copies
-    (how often the mix takes it) and taken (copies x size). Columns of docs with these names are replaced.
+    (how often the mix takes it) and taken (copies x size). Columns of docs with these names are replaced, all others
+    pass through, whatever their names.
 
     A null text has no words, null is a source of its own, and a source without words has target 0. Rows
     that repeat an id share its hash and are taken together. Reruns agree, whatever the partitions."""
     rest = docs.drop(*OUTPUTS)
+    name, full, below = (C.free(n, [*rest.columns, *OUTPUTS]) for n in ("_source", "_whole", "_below"))
     sized = C.cut(docs.select(F.col(source_col).alias("source"), hash_of(id_col, text_col, seed).alias("hash"), words_in(text_col).alias("size")))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = source_targets(sources, weights, share, most)
@@ -114,10 +117,10 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.0, most: int = 3, s
     small = plan.count() <= MAX_BROADCAST_SOURCES
     # at a budget of 0 nothing is below the threshold, and a full source has no partial copy
     cut = thresholds(sized.where("size > 0"), budgets.where("budget > 0"), small).select(F.col("source").alias("_t"), "threshold")
-    plan = plan.join(cut, F.col("source").eqNullSafe(F.col("_t")), "left").select(F.col("source").alias("_source"), "source_size", "target", "_whole", F.coalesce("threshold", F.lit(0)).alias("_below"))
+    plan = plan.join(cut, F.col("source").eqNullSafe(F.col("_t")), "left").select(F.col("source").alias(name), "source_size", "target", F.col("_whole").alias(full), F.coalesce("threshold", F.lit(0)).alias(below))
     if small:
         plan = F.broadcast(plan)
-    out = rest.withColumn("size", words_in(text_col)).join(plan, F.col(source_col).eqNullSafe(F.col("_source")), "left")
-    copies = F.col("_whole") + F.when(hash_of(id_col, text_col, seed) < F.col("_below"), 1).otherwise(0)
+    out = rest.withColumn("size", words_in(text_col)).join(plan, F.col(source_col).eqNullSafe(F.col(name)), "left")
+    copies = F.col(full) + F.when(hash_of(id_col, text_col, seed) < F.col(below), 1).otherwise(0)
     out = out.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select(*rest.columns, *OUTPUTS)
+    return out.select(*(F.col(f"`{c}`") for c in rest.columns), *OUTPUTS)

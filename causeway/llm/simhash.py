@@ -25,6 +25,8 @@ from causeway.llm._components import components
 
 THRESHOLD = 3
 BLOCK = 1 << 21
+#: Rows that a task holds at most, about, and the mean number of anchors that a fingerprint goes to.
+ROWS_A_TASK, COPIES = 4 << 20, 31
 SEED = 42
 
 _POSITION = np.arange(1, 32, dtype=np.uint64)
@@ -200,7 +202,7 @@ def near_links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     (3 or less) bits apart: enough of them to give every component."""
     if not 0 <= threshold <= 3:
         raise ValueError("the covering holds for up to 3 bits")
-    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = C.partitions(prints.sparkSession, prints.count() * COPIES, ROWS_A_TASK)
     copies = prints.select("fp").mapInArrow(_replicate, "anchor long, fp long")
     return copies.repartition(n, F.shiftright("anchor", 1)).mapInArrow(_compare(threshold), "a long, b long").distinct()
 
@@ -372,7 +374,6 @@ def near_copies(texts: DataFrame, words: int = 5) -> DataFrame:
     these didn't join, so a large group of near copies costs its size and not its square. Texts with equal sets are one
     node; texts without a word are copies of each other.
     """
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = texts.count()
     # a sample decides only on the order, which no result depends on
     some = texts.where(F.pmod(F.xxhash64("_u"), F.lit(max(1, total // SAMPLE))) == 0).select("text")
@@ -380,7 +381,8 @@ def near_copies(texts: DataFrame, words: int = 5) -> DataFrame:
     common = np.sort(often.toArrow().column(0).to_numpy().view(np.uint64))
     prints = C.cut(texts.mapInArrow(_prefixes(words, common), "_u long, node long, size long, prefix binary"))
     nodes = prints.dropDuplicates(["node"]).select("node", "size", "prefix")
-    # its partitions stay as written, with all rows of a shingle in one
+    # as many partitions as their rows need, a fifth of all shingles; they stay as written, with all rows of a shingle in one
+    n = C.partitions(texts.sparkSession, (prints.agg(F.sum("size")).first()[0] or 0) // 5, ROWS_A_TASK)
     met = C.cut(nodes.mapInArrow(_by_shingle, MET).repartition(n, "shingle").mapInArrow(_shared, MET))
     firsts = C.cut(prints.groupBy("node").agg(F.min("_u").alias("_first")))
 
@@ -409,12 +411,13 @@ def near_copies(texts: DataFrame, words: int = 5) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The rows of docs without those that are near copies (see near_copies) of a row with a smaller id; all columns
-    pass through. Rows that repeat an id, and null ids, which sort last, count as rows of their own."""
+    pass through, whatever their names. Rows that repeat an id, and null ids, which sort last, count as rows of their own."""
+    row, dropped = C.free("_row", docs.columns), C.free("_gone", docs.columns)
     twice = docs.groupBy(F.col(id_col).alias("_id")).count().where("count > 1 or _id is null").limit(1)
-    key = id_col
-    if not twice.isEmpty():
+    key, repeated = id_col, not twice.isEmpty()
+    if repeated:
         docs = docs.orderBy(F.col(id_col).asc_nulls_last(), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-        docs, key = C.cut(docs.withColumn("_row", F.monotonically_increasing_id())), "_row"
+        docs, key = C.cut(docs.withColumn(row, F.monotonically_increasing_id())), row
     gone = near_copies(docs.select(F.col(key).cast("long").alias("_u"), F.col(text_col).cast("string").alias("text")), **kw).where("_u <> first")
-    kept = docs.join(gone.select(F.col("_u").alias("_gone")), F.col(key) == F.col("_gone"), "left_anti")
-    return kept.drop("_row") if key == "_row" else kept
+    kept = docs.join(gone.select(F.col("_u").alias(dropped)), F.col(key) == F.col(dropped), "left_anti")
+    return kept.drop(row) if repeated else kept

@@ -54,7 +54,7 @@ def expected(rows, weights, most):
 def test_mix(spark, weights):
     docs = rows(3)
     sizes, target, taken, words = expected(docs, weights, 3)
-    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, source string, taken int").repartition(5)
+    df = spark.createDataFrame([(*d, 1, "k", 3, 4) for d in docs], "doc_id long, text string, source string, taken int, _source string, _whole int, _BELOW int").repartition(5)
     got = M.mix(df, weights=weights).collect()
     assert len(got) == len(docs)
     by_source = {}
@@ -66,7 +66,7 @@ def test_mix(spark, weights):
         copies, below = taken[r.source]
         if r.size:
             assert r.taken == r.size * (copies + (h < below)), r
-        assert r.taken <= 3 * r.size
+        assert r.taken <= 3 * r.size and (r._source, r._whole, r._BELOW) == ("k", 3, 4)
         by_source[r.source] = by_source.get(r.source, 0) + r.taken
     for s, n in by_source.items():
         assert abs(n - target[s]) <= 80
@@ -76,3 +76,10 @@ def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert M.mix(empty).count() == 0
     assert [r.taken for r in M.mix(spark.createDataFrame([(1, None, None), (2, "", "a")], empty.schema)).collect()] == [0, 0]
+
+
+def test_very_long_texts_and_equal_rows(spark):
+    rows = [(1, "w " * 200_000, "a"), (1, "w " * 200_000, "a"), (2, "x", "a"), (3, "y " * 100_000, "b")]
+    got = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 4 and {r.size for r in got} == {200_000, 1, 100_000}
+    assert len({r.taken for r in got if r.doc_id == 1}) == 1  # rows that repeat an id are taken together

@@ -123,3 +123,11 @@ def test_near_copies_equal_brute_force(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     want = {i for i in range(len(texts)) if root(i) == i}
     assert {x.doc_id for x in S.keep_one_of_each(df).collect()} == want
+
+
+def test_helper_columns_may_clash(spark):
+    rows = [(1, "a b c d e f", 5, 6), (1, "a b c d e f", 7, 8), (None, "x y", 1, 1), (2, "a b c d e f g h i j k", 2, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row int, _gone int")
+    got = S.keep_one_of_each(df)
+    assert got.columns == df.columns and got.count() == 3
+    assert S.keep_one_of_each(df.where("doc_id = 2")).collect()[0]._gone == 2
