@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from causeway.operators.joins import running
+
 
 def tie_curve(scored: DataFrame) -> DataFrame:
     """scored: (score, y[, w]). One row per distinct score, highest first: threshold, n, tp, fp up to and including it. The
-    running sums are over distinct scores, not rows."""
+    running sums are over distinct scores, by range (joins.running): a model's scores may be as many as its rows."""
     w = F.col("w") if "w" in scored.columns else F.lit(1)
-    ties = scored.groupBy(F.col("score").alias("threshold")).agg(F.sum(w).alias("n"), F.sum(w * F.col("y")).alias("pos"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    return ties.select("threshold", F.sum("n").over(down).alias("n"), F.sum("pos").over(down).alias("tp")).withColumn("fp", F.col("n") - F.col("tp"))
+    ties = scored.groupBy(F.col("score").alias("threshold")).agg(F.sum(w).alias("_n"), F.sum(w * F.col("y")).alias("_pos"))
+    sums = running(ties, [F.desc("threshold")], {"n": "_n", "tp": "_pos"})
+    return sums.select("threshold", "n", "tp", (F.col("n") - F.col("tp")).alias("fp"), "_n", "_pos")
 
 
 def _with_before(curve: DataFrame) -> DataFrame:
-    order = Window.orderBy(F.desc("threshold"))
+    """Each row with the sums before it, which are its own less its tie's, and the totals."""
     total = curve.agg(F.max("tp").alias("p"), F.max("fp").alias("f"))
-    return curve.crossJoin(F.broadcast(total)).withColumns({"tp0": F.coalesce(F.lag("tp").over(order), F.lit(0)), "fp0": F.coalesce(F.lag("fp").over(order), F.lit(0))})
+    return curve.crossJoin(F.broadcast(total)).withColumns({"tp0": F.col("tp") - F.col("_pos"), "fp0": F.col("fp") - (F.col("_n") - F.col("_pos"))})
 
 
 def pr_auc(scored: DataFrame) -> DataFrame:
@@ -114,3 +116,12 @@ def bootstrap(clusters: DataFrame, replicates: int, seed: int, chunk: int = 100)
 def interval(values: DataFrame, column: str, level: float = 0.95) -> DataFrame:
     a = (1 - level) / 2
     return values.agg(F.percentile(column, a).alias("low"), F.percentile(column, 1 - a).alias("high"))
+
+
+def covered(rows: DataFrame, ranges: DataFrame, at: str) -> DataFrame:
+    """The values `at` of rows that lie in one of ranges (lo, hi), inclusive. Ranges are merged, and both are sorted into one line, in which a
+    running count of ranges begun less ranges ended tells who is inside: no row meets a range that it isn't near."""
+    one = merged_ranges(ranges.select(F.lit(0).alias("grp"), "lo", "hi"))  # ranges are few
+    line = rows.select(F.col(at).alias("_x"), F.lit(0).alias("_step"), F.lit(1).alias("_kind"))
+    line = line.unionByName(one.select(F.col("lo").alias("_x"), F.lit(1).alias("_step"), F.lit(0).alias("_kind"))).unionByName(one.select(F.col("hi").alias("_x"), F.lit(-1).alias("_step"), F.lit(2).alias("_kind")))
+    return running(line, ["_x", "_kind"], {"_open": "_step"}).where("_kind = 1 and _open > 0").select(F.col("_x").alias(at))

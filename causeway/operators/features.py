@@ -1,19 +1,16 @@
-"""The per-transfer features, in passes that share a partitioning: out-side and in-side streams, pairs, ports.
-
-A stream holds, for each account, its own transfers, the steps of its distinct counts, and a query
-row for every transfer at whose other end it stands; all frames of a stream share one exchange and
-one sort.
-"""
+"""The per-transfer features: each transfer reads the state of its sender, its receiver and its pair before its
+minute (timelines.py), and counts of paths (graph.py)."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions import scalars as S
-from causeway.operators import asof as A
+from causeway.operators import timelines as TL
+from causeway.sources import store
 
 
 @dataclass(frozen=True)
@@ -31,17 +28,33 @@ class Params:
     round_cents: int = 1000
     high_risk: tuple[str, ...] = ("click", "error")
     formats: tuple[str, ...] = ("click", "error", "purchase", "signup", "view")
+    currencies: tuple[str, ...] = ("Euro", "US Dollar", "Yen")
     hub_quantile: float = 0.99
     sizes: dict = field(default_factory=dict)
 
 
 P = Params()
+#: More values than this of a format or currency are no vocabulary.
+MAX_VOCABULARY = 1000
+
+
+def fitted(tx: DataFrame, p: Params = P, split: str = "train") -> Params:
+    """p with the vocabularies of formats and currencies that one split has, sorted."""
+
+    def words(*columns: str) -> tuple[str, ...]:
+        values = tx.where(F.col("split") == split).select(F.explode(F.array(*columns)).alias("v")).where("v is not null").distinct().orderBy("v").limit(MAX_VOCABULARY + 1)
+        found = tuple(r.v for r in values.collect())
+        if len(found) > MAX_VOCABULARY:
+            raise ValueError(f"{columns} have more than {MAX_VOCABULARY} values")
+        return found
+
+    return replace(p, formats=words("payment_format"), currencies=words("payment_currency", "receiving_currency"))
 
 
 def prepared(tx: DataFrame, p: Params = P) -> DataFrame:
-    """Transfers with flags, format code, logarithms in whole units, and whether the pair is in its first minute."""
+    """Transfers with flags, format code and logarithms in whole units."""
     l = S.log_amount(F.col("amount_usd"))  # noqa: E741
-    t = tx.withColumns(
+    return tx.withColumns(
         {
             "l": l,
             "lq": S.units(l),
@@ -52,87 +65,32 @@ def prepared(tx: DataFrame, p: Params = P) -> DataFrame:
             "fmt": S.code_in(F.col("payment_format"), list(p.formats)),
         }
     )
-    first = F.min("minute").over(A.Window.partitionBy("src", "dst"))
-    return t.withColumn("is_new", F.col("minute") == first)
-
-
-def _one(flag: str):
-    return F.when(F.col(flag), 1)
-
-
-def out_stream(t: DataFrame, p: Params = P) -> DataFrame:
-    """Sender side: of each transfer, what its sender (u_out) and its receiver (v_out) sent before."""
-    w = {"s": p.short, "l": p.long}
-    data = t.select(F.col("src").alias("acct"), "minute", "row_id", F.lit(True).alias("own"), F.lit(1).alias("one"), "usd_c", "lq", "l2q", "l", "in_band", "is_round", "high_risk", "is_new", "fmt", F.col("minute").alias("t"))
-    query = t.select(F.col("dst").alias("acct"), "minute", "row_id", F.lit(False).alias("own"))
-    steps = A.distinct_steps(t, "src", "dst", w).withColumnRenamed("src", "acct")
-    s, by = A.union(data, query, steps), ["acct"]
-    cols = {}
-    for tag, size in w.items():
-        cols |= {f"cnt_{tag}": A.sum_before(F.col("one"), by, size), f"sum_{tag}": A.sum_before(F.col("usd_c"), by, size), f"lq_{tag}": A.sum_before(F.col("lq"), by, size), f"l2q_{tag}": A.sum_before(F.col("l2q"), by, size)}
-        cols[f"uniq_{tag}"] = F.coalesce(F.sum(f"step_{tag}").over(A.upto(by, 0)), F.lit(0))
-    for name in ("in_band", "is_round", "is_new", "high_risk"):
-        cols[f"n_{name}"] = A.sum_before(_one(name), by, p.short)
-    for k, _ in enumerate(p.formats):
-        cols[f"n_fmt_{k}"] = A.sum_before(F.when(F.col("fmt") == k, 1), by, p.short)
-    cols["max_s"] = F.max("l").over(A.sliding(by, p.short))
-    cols["last"] = A.last_before(by, "t")
-    return s.withColumns(cols).where("row_id is not null")
-
-
-def in_stream(t: DataFrame, p: Params = P) -> DataFrame:
-    """Receiver side: of each transfer, what its receiver (v_in) and its sender (u_in) received before."""
-    w = {"s": p.short, "l": p.long}
-    data = t.select(F.col("dst").alias("acct"), "minute", "row_id", F.lit(True).alias("own"), F.lit(1).alias("one"), "usd_c", "lq", "l2q", "l", F.when(~F.col("self_loop"), F.col("usd_c")).alias("nsl_c"), F.col("minute").alias("t"))
-    query = t.select(F.col("src").alias("acct"), "minute", "row_id", F.lit(False).alias("own"))
-    steps = A.distinct_steps(t, "dst", "src", w).withColumnRenamed("dst", "acct")
-    s, by = A.union(data, query, steps), ["acct"]
-    cols = {}
-    for tag, size in w.items():
-        cols |= {f"cnt_{tag}": A.sum_before(F.col("one"), by, size), f"sum_{tag}": A.sum_before(F.col("usd_c"), by, size), f"lq_{tag}": A.sum_before(F.col("lq"), by, size), f"l2q_{tag}": A.sum_before(F.col("l2q"), by, size)}
-        cols[f"uniq_{tag}"] = F.coalesce(F.sum(f"step_{tag}").over(A.upto(by, 0)), F.lit(0))
-    cols["inflow_c"] = A.sum_before(F.col("nsl_c"), by, p.pass_through)
-    cols["max_s"] = F.max("l").over(A.sliding(by, p.short))
-    cols["last"] = A.last_before(by, "t")
-    return s.withColumns(cols).where("row_id is not null")
-
-
-def side(stream: DataFrame, own: bool, name: str, columns: list[str]) -> DataFrame:
-    """The rows of one end of a stream, columns as <name>_<column>."""
-    return stream.where(F.col("own") == own).select("row_id", *(F.col(c).alias(f"{name}_{c}") for c in columns))
-
-
-def ends(stream: DataFrame, own: str, own_columns: list[str], far: str, far_columns: list[str]) -> DataFrame:
-    """Both ends of a stream for by_row(), which puts them together: the stream is computed once."""
-    mine = [F.when(F.col("own"), F.col(c)).alias(f"{own}_{c}") for c in own_columns]
-    return stream.select("row_id", *mine, *(F.when(~F.col("own"), F.col(c)).alias(f"{far}_{c}") for c in far_columns))
-
-
-def pair_stream(t: DataFrame, p: Params = P) -> DataFrame:
-    """Earlier transfers of the same pair: counts in both windows and the last minute."""
-    by = ["src", "dst"]
-    return t.select("row_id", "src", "dst", "minute").withColumns({"pair_cnt_s": A.sum_before(F.lit(1), by, p.short), "pair_cnt_l": A.sum_before(F.lit(1), by, p.long), "pair_last": A.last_before(by)}).select("row_id", "pair_cnt_s", "pair_cnt_l", "pair_last")
-
-
-def reverse_stream(t: DataFrame, p: Params = P) -> DataFrame:
-    """Earlier transfers of the reverse pair: their number in the round-trip window and the last minute."""
-    data = t.select(F.col("src").alias("a"), F.col("dst").alias("b"), "minute", F.col("minute").alias("t"), F.lit(1).alias("one"))
-    query = t.select(F.col("dst").alias("a"), F.col("src").alias("b"), "minute", "row_id")
-    s = A.union(data, query).withColumns({"rev_cnt": A.sum_before(F.col("one"), ["a", "b"], p.round_trip), "rev_last": A.last_before(["a", "b"], "t")})
-    return s.where("row_id is not null").select("row_id", "rev_cnt", "rev_last")
-
-
-def ports(t: DataFrame) -> DataFrame:
+
+def of_ends(t: DataFrame, u: list[str] = (), v: list[str] = (), keep: list[str] = (), p: Params = P) -> DataFrame:
+    """row_id and `keep` of every prepared transfer, with columns of its sender's state as u_* and of its receiver's as v_* (see
+    timelines.account_minutes)."""
+    accounts = TL.account_minutes(store.written(TL.pair_minutes(t, p)), p)  # each pair is read from both its ends
+    accounts = store.written(accounts) if u and v else accounts  # both ends read it
+    own = t.select("row_id", "src", "dst", "minute", *(c for c in keep if c not in ("src", "dst", "minute")))
+    if u:
+        own = TL.state_at(own, accounts, "src", "u", list(u))
+    if v:
+        own = TL.state_at(own, accounts, "dst", "v", list(v))
+    return own.select("row_id", *keep, *(f"u_{c}" for c in u), *(f"v_{c}" for c in v))
+
+
+def ports(t: DataFrame, pairs: DataFrame | None = None, accounts: DataFrame | None = None, p: Params = P) -> DataFrame:
     """(src, dst, first_min, port_out, port_in): how many of the sender's receivers, and of the receiver's senders, are first seen in an earlier minute than the pair."""
-    pairs = t.groupBy("src", "dst").agg(F.min("minute").alias("first_min"))
-    earlier = lambda k: F.count("*").over(A.upto([k], -1, "first_min"))
-    return pairs.withColumn("port_out", earlier("src")).withColumn("port_in", earlier("dst"))
+    pairs = store.written(TL.pair_minutes(t, p)) if pairs is None else pairs
+    accounts = store.written(TL.account_minutes(pairs, p)) if accounts is None else accounts
+    first = pairs.where("minute = first_min").select("src", "dst", "minute", "first_min")
+    first = TL.state_at(TL.state_at(first, accounts, "src", "port", ["out_pairs"]), accounts, "dst", "port", ["in_pairs"])
+    return first.select("src", "dst", "first_min", F.col("port_out_pairs").alias("port_out"), F.col("port_in_pairs").alias("port_in"))
 
 
-def same_format(t: DataFrame, p: Params = P) -> DataFrame:
-    """The receiver's earlier transfers in this one's format; 0 for an unknown format."""
-    n = A.sum_before(F.lit(1), ["dst", "fmt"], p.short)
-    return t.select("row_id", F.when(F.col("fmt") < 0, F.lit(0)).otherwise(n).alias("v_in_same_fmt"))
+def same_format(p: Params = P) -> F.Column:
+    """The receiver's earlier transfers in this one's format, of its state v_*; 0 for an unknown format."""
+    return F.coalesce(F.get(F.array(*(F.col(f"v_in_n_fmt_{k}") for k in range(len(p.formats)))), F.when(F.col("fmt") >= 0, F.col("fmt"))), F.lit(0))
 
 
 def mean(n: str, total: str):
@@ -153,60 +111,14 @@ SUMS = ["cnt_s", "cnt_l", "uniq_s", "uniq_l", "sum_s", "sum_l"]
 MOMENTS = ["lq_s", "lq_l", "l2q_s", "l2q_l", "max_s"]
 
 
-def features(tx: DataFrame, p: Params = P) -> DataFrame:
-    """All window, flow, port, gap and rule-support features of every transfer (paths are in graph.py)."""
-    t = prepared(tx, p)
-    o, i = out_stream(t, p), in_stream(t, p)
-    counts = ["n_in_band", "n_is_round", "n_is_new", *(f"n_fmt_{k}" for k in range(len(p.formats)))]
-    parts = A.by_row(
-        ends(o, "u_out", [*SUMS, *MOMENTS, *counts, "last"], "v_out", [*SUMS, "last"]),
-        ends(i, "v_in", [*SUMS, *MOMENTS, "last"], "u_in", [*SUMS, "inflow_c", "last"]),
-        pair_stream(t, p),
-        reverse_stream(t, p),
-        same_format(t, p),
-    )
-    own = t.join(ports(t), ["src", "dst"]).select("row_id", "minute", "src", "dst", "usd_c", "l", "self_loop", "in_band", "is_new", "fmt", "payment_currency", "receiving_currency", "from_bank", "to_bank", "is_round", "port_out", "port_in")
-    return own.join(parts, "row_id")
-
-
-def feature_table(tx: DataFrame, p: Params = P) -> DataFrame:
-    """One row per transfer, with the features under their public names; null where undefined."""
-    f, s, long = features(tx, p), S.window_tag(p.short), S.window_tag(p.long)
-    tags = {"s": s, "l": long}
-    c = {"row_id": F.col("row_id")}
-    c["log_amount_usd"] = F.col("l")
-    c["cross_currency"] = (F.col("payment_currency") != F.col("receiving_currency")).cast("int")
-    c["payment_format"] = F.col("fmt")
-    c["self_loop"] = F.col("self_loop").cast("int")
-    c["same_bank"] = (F.col("from_bank") == F.col("to_bank")).cast("int")
-    c["round_amount"] = F.col("is_round").cast("int")
-    c["hour_of_day"] = F.expr("(minute % 1440) div 60")
-    for end in ("u_out", "u_in", "v_in", "v_out"):
-        for k, tag in tags.items():
-            c[f"{end}_cnt_{tag}"], c[f"{end}_uniq_{tag}"], c[f"{end}_sum_{tag}"] = F.col(f"{end}_cnt_{k}"), F.col(f"{end}_uniq_{k}"), log_cents(f"{end}_sum_{k}")
-    for end, one in (("u_out", "u"), ("v_in", "v")):
-        for k, tag in tags.items():
-            c[f"{end}_mean_{tag}"] = mean(f"{end}_cnt_{k}", f"{end}_lq_{k}")
-            c[f"{end}_std_{tag}"] = std(f"{end}_cnt_{k}", f"{end}_lq_{k}", f"{end}_l2q_{k}")
-        c[f"{end}_max_{s}"] = F.col(f"{end}_max_s")
-        c[f"{one}_amt_dev_{s}"] = F.col("l") - mean(f"{end}_cnt_s", f"{end}_lq_s")
-    c[f"pair_cnt_{s}"], c[f"pair_cnt_{long}"] = F.col("pair_cnt_s"), F.col("pair_cnt_l")
-    c[f"u_inflow_{S.window_tag(p.pass_through)}"] = log_cents("u_in_inflow_c")
-    c[f"pt_ratio_{S.window_tag(p.pass_through)}"] = F.when(~F.col("self_loop") & (F.col("u_in_inflow_c") > 0), F.col("usd_c") / F.col("u_in_inflow_c"))
-    for one in "uv":
-        a, b = F.col(f"{one}_out_sum_l"), F.col(f"{one}_in_sum_l")
-        c[f"{one}_bal_{long}"] = F.when(a + b > 0, (a - b) / (a + b))
-    c["pair_is_new"] = F.col("is_new").cast("int")
-    for k in ("out", "in"):
-        c[f"{k}_port"] = F.log1p(F.least(F.col(f"port_{k}"), F.lit(p.cap_port)).cast("double"))
-    for name, last in (("u_out", "u_out_last"), ("u_in", "u_in_last"), ("v_in", "v_in_last"), ("v_out", "v_out_last"), ("pair", "pair_last"), ("rev_pair", "rev_last")):
-        c[f"{name}_gap"] = S.capped_gap(F.col("minute"), F.col(last), p.cap_gap)
-    c[f"cyc2_{S.window_tag(p.round_trip)}"] = F.when(F.col("self_loop"), 0).otherwise(F.least("rev_cnt", F.lit(p.cap_count)))
-    for one in "uv":
-        c[f"gs_{one}_{s}"] = F.least(f"{one}_in_uniq_s", f"{one}_out_uniq_s")
-    c["in_band"] = F.col("in_band").cast("int")
-    c |= {f"u_out_inband_{s}": F.col("u_out_n_in_band"), f"u_out_round_{s}": F.col("u_out_n_is_round"), f"u_out_newcp_{s}": F.col("u_out_n_is_new")}
-    for k, name in enumerate(p.formats):
-        c[f"u_out_fmt_{S.slug(name)}_{s}"] = F.col(f"u_out_n_fmt_{k}")
-    c[f"v_in_same_fmt_{s}"] = F.col("v_in_same_fmt")
-    return f.select(*(v.alias(k) for k, v in c.items()))
+def features(t: DataFrame, p: Params = P) -> DataFrame:
+    """t: prepared transfers. Adds to every transfer all window, flow, port, gap and rule-support features. Pairs and accounts by minute
+    are written once each, and read with the columns that are needed."""
+    pairs = store.written(TL.pair_minutes(t, p))
+    accounts = store.written(TL.account_minutes(pairs, p))
+    counts = ["out_n_in_band", "out_n_is_round", "out_n_high_risk", "out_n_is_new", *(f"out_n_fmt_{k}" for k in range(len(p.formats)))]
+    out, into = ([f"{e}_{c}" for c in [*SUMS, "last"]] for e in ("out", "in"))
+    own = TL.state_at(t, accounts, "src", "u", [*out, *(f"out_{c}" for c in MOMENTS), *counts, *into, "in_inflow_c"])
+    own = TL.state_at(own, accounts, "dst", "v", [*out, *into, *(f"in_{c}" for c in MOMENTS), *(f"in_n_fmt_{k}" for k in range(len(p.formats)))])
+    own = own.join(pairs.select("src", "dst", *(c for c in TL.STATE if c not in ("n", "next"))), ["src", "dst", "minute"]).withColumn("is_new", F.col("minute") == F.col("first_min"))
+    return own.join(ports(t, pairs, accounts, p).drop("first_min"), ["src", "dst"]).withColumn("v_in_same_fmt", same_format(p))

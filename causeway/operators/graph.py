@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.operators import asof as A
 from causeway.operators.features import P, Params
-from causeway.operators.joins import band_join, newest
+from causeway.operators.joins import band_join, last_before
+from causeway.sources import store
 
 
 def degrees(tx: DataFrame) -> DataFrame:
@@ -34,24 +37,39 @@ def closed_pairs(e: DataFrame) -> DataFrame:
     return e.select(F.col("dst").alias("a"), F.col("src").alias("b")).distinct()
 
 
-def paths(e: DataFrame, h: DataFrame, hop: int) -> tuple[DataFrame, DataFrame]:
+class Graph(NamedTuple):
+    """What the searches for paths read over and over, each written once: edges between two accounts, hubs, and the closed pairs."""
+
+    edges: DataFrame
+    hubs: DataFrame
+    closed: DataFrame
+
+
+def prepared(tx: DataFrame, p: Params = P) -> Graph:
+    e = store.written(edges(tx))
+    return Graph(e, store.written(hubs(tx, p.hub_quantile)), store.written(closed_pairs(e)))
+
+
+def paths(graph: Graph, hop: int, three: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """Paths of two and of three edges over distinct accounts: each edge follows the one before within `hop` minutes,
     equal minutes allowed; no hub inside; parallel edges multiply. (a, b, t1, t2): first and last account and
     minute. Only paths that some transfer closes are kept."""
-    closed = closed_pairs(e)
+    e, h, closed = graph
     to_plain = e.join(h, e.dst == h.acct, "left_anti")
     from_plain = e.join(h, e.src == h.acct, "left_anti")
     first = to_plain.select(F.col("src").alias("a"), F.col("dst").alias("w"), F.col("minute").alias("t1"))
     last = from_plain.select(F.col("src").alias("s"), F.col("dst").alias("b"), F.col("minute").alias("t2"))
     two = band_join(first, last, [("w", "s")], "t1", "t2", 0, hop, condition=F.col("a") != F.col("b"))
+    keep = lambda p: p.join(closed, ["a", "b"], "left_semi").select("a", "b", "t1", "t2")
+    if not three:
+        return keep(two), None
     middle = from_plain.join(h, from_plain.dst == h.acct, "left_anti").select(F.col("src").alias("s"), F.col("dst").alias("w2"), F.col("minute").alias("tm"))
     half = band_join(first, middle, [("w", "s")], "t1", "tm", 0, hop, condition=F.col("a") != F.col("w2")).select("a", "w", "w2", "t1", "tm")
-    three = band_join(half, last, [("w2", "s")], "tm", "t2", 0, hop, condition=(F.col("a") != F.col("b")) & (F.col("w") != F.col("b")))
-    keep = lambda p: p.join(closed, ["a", "b"], "left_semi").select("a", "b", "t1", "t2")
-    return keep(two), keep(three)
+    long = band_join(half, last, [("w2", "s")], "tm", "t2", 0, hop, condition=(F.col("a") != F.col("b")) & (F.col("w") != F.col("b")))
+    return keep(two), keep(long)
 
 
-def cycle_counts(tx: DataFrame, p: Params = P) -> DataFrame:
+def cycle_counts(tx: DataFrame, p: Params = P, graph: Graph | None = None) -> DataFrame:
     """(row_id, cyc2, cyc3, cyc4, round_trip): earlier paths from the receiver back to the sender, of one, two and three edges,
     with every edge in [m - R, m - 1]; 0 for a self-loop, capped.
 
@@ -59,9 +77,9 @@ def cycle_counts(tx: DataFrame, p: Params = P) -> DataFrame:
     the window are those that ended before m less those that began before m - R: two running sums over one
     stream for each pair.
     """
-    e, h = edges(tx), hubs(tx, p.hub_quantile)
-    two, three = paths(e, h, p.hop)
-    closed = closed_pairs(e)
+    graph = graph or prepared(tx, p)
+    e, _, closed = graph
+    two, three = paths(graph, p.hop)
     one = e.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("minute").alias("t1"), F.col("minute").alias("t2")).join(closed, ["a", "b"], "left_semi")
     parts = []
     for k, q in ((2, one), (3, two), (4, three)):
@@ -79,10 +97,10 @@ def cycle_counts(tx: DataFrame, p: Params = P) -> DataFrame:
     return found.unionByName(zero)
 
 
-def scatter_gather(tx: DataFrame, p: Params = P) -> DataFrame:
+def scatter_gather(tx: DataFrame, p: Params = P, graph: Graph | None = None) -> DataFrame:
     """(row_id, sg_mids, sg_srcs) of transfers u -> v with at least one sibling: accounts x that paid v and were paid by a
     non-hub s that also paid u, all in the window; and the number of such s. Counts are capped."""
-    e, h, w = edges(tx), hubs(tx, p.hub_quantile), p.scatter
+    (e, h, _), w = graph or prepared(tx, p), p.scatter
     seen = e.select("src", "dst", "minute").distinct()
     plain = seen.join(h, seen.src == h.acct, "left_anti")
     target = e.select("row_id", F.col("src").alias("u"), F.col("dst").alias("v"), F.col("minute").alias("m"))
@@ -107,11 +125,24 @@ def ordinal_ports(tx: DataFrame) -> DataFrame:
 def neighbours(tx: DataFrame, nodes: DataFrame, window: int, k: int) -> DataFrame:
     """nodes: (case_id, node, minute). Of each node the newest k transfers in and out in [minute - window, minute - 1]:
     (case_id, node, direction, other, row_id, t)."""
-    out = tx.select(F.col("src").alias("at"), F.col("dst").alias("other"), F.col("minute").alias("t"), "row_id", F.lit("out").alias("direction"))
-    into = tx.select(F.col("dst").alias("at"), F.col("src").alias("other"), F.col("minute").alias("t"), "row_id", F.lit("in").alias("direction"))
-    near = band_join(nodes, out.union(into), [("node", "at")], "minute", "t", -window, -1)
-    near = newest(near, ["case_id", "node", "direction"], [F.desc("t"), F.desc("row_id")], k)
-    return near.select("case_id", "node", "direction", "other", "row_id", "t")
+    found = []
+    for direction, at, other in (("out", "src", "dst"), ("in", "dst", "src")):
+        rows = tx.select(F.col(at).alias("at"), F.col("minute").alias("t"), "row_id", F.col(other).alias("other"))
+        found.append(last_before(rows, nodes, k, window).withColumn("direction", F.lit(direction)))
+    return found[0].unionByName(found[1]).select("case_id", "node", "direction", "other", "row_id", "t")
+
+
+def temporal_sample(tx: DataFrame, nodes: DataFrame, fan_out: tuple[int, ...] = (25, 10)) -> DataFrame:
+    """nodes: (case_id, node, minute). Hop by hop the newest transfers into each node found so far, before its case's minute:
+    (case_id, hop, node, neighbour, row_id, t). A node that several paths of a case reach is asked once a hop."""
+    rows = tx.select(F.col("dst").alias("at"), F.col("minute").alias("t"), "row_id", F.col("src").alias("neighbour"))
+    out, now = None, nodes.select("case_id", "node", "minute").distinct()
+    for hop, k in enumerate(fan_out, 1):
+        found = store.written(last_before(rows, now, k))
+        step = found.select("case_id", F.lit(hop).alias("hop"), "node", "neighbour", "row_id", "t")
+        out = step if out is None else out.unionByName(step)
+        now = found.select("case_id", F.col("neighbour").alias("node"), "minute").distinct()
+    return out
 
 
 def case_subgraph(tx: DataFrame, alerts: DataFrame, window: int = 4320, k1: int = 10, k2: int = 4) -> DataFrame:

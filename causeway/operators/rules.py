@@ -2,34 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causeway.operators import asof as A
 from causeway.operators import features as X
+from causeway.operators import graph as G
 from causeway.operators.features import P, Params
-from causeway.operators.graph import cycle_counts, hubs
+from causeway.sources import store
 
 SCENARIOS = ["fan_in_velocity", "fan_out_velocity", "rapid_pass_through", "round_trip", "structuring", "round_amount_burst", "high_risk_format_burst"]
 
 
-def severities(tx: DataFrame, p: Params = P, hub_senders_excluded: bool = True) -> DataFrame:
-    """row_id, split, day and one double for each scenario, for every transfer."""
-    t = X.prepared(tx, p)
-    o, i = X.out_stream(t, p), X.in_stream(t, p)
-    parts = A.by_row(
-        X.side(o, True, "u_out", ["uniq_s", "n_in_band", "n_is_round", "n_high_risk"]),
-        X.ends(i, "v_in", ["uniq_s"], "u_in", ["inflow_c"]),
-        cycle_counts(tx, p).select("row_id", "round_trip"),
-    )
-    h = hubs(tx, p.hub_quantile).select(F.col("acct").alias("hub"))  # a share of all accounts: Spark sees to its size
-    s = t.join(parts, "row_id").join(h, t.src == F.col("hub"), "left")
-    hub = F.col("hub").isNotNull() & F.lit(hub_senders_excluded)
+def severity_columns(hub: Column) -> dict[str, Column]:
+    """Each scenario's severity, from a prepared transfer with the state of its ends and its round trips; hub: whether its sender is one that
+    is left out of the sender's scenarios."""
     burst = lambda flag, n: F.when(F.col(flag) & ~hub, F.col(n) + 1).otherwise(0)
     share = F.greatest(F.lit(0.0), 1.0 - F.abs(F.col("usd_c") / F.col("u_in_inflow_c") - 1.0))
-    columns = {
+    return {
         "fan_in_velocity": F.col("v_in_uniq_s"),
         "fan_out_velocity": F.when(hub, 0).otherwise(F.col("u_out_uniq_s")),
         "rapid_pass_through": F.when(~F.col("self_loop") & (F.col("u_in_inflow_c") > 0), share).otherwise(0.0),
@@ -38,9 +30,30 @@ def severities(tx: DataFrame, p: Params = P, hub_senders_excluded: bool = True)
         "round_amount_burst": burst("is_round", "u_out_n_is_round"),
         "high_risk_format_burst": burst("high_risk", "u_out_n_high_risk"),
     }
+
+
+def severities(tx: DataFrame, p: Params = P, hub_senders_excluded: bool = True) -> DataFrame:
+    """row_id, split, day and one double for each scenario, for every transfer."""
+    t = store.written(X.prepared(tx, p))
+    graph = G.prepared(t, p)
+    sender = ["out_uniq_s", "out_n_in_band", "out_n_is_round", "out_n_high_risk", "in_inflow_c"]
+    s = X.of_ends(t, sender, ["in_uniq_s"], ["split", "day", "src", "usd_c", "self_loop", "in_band", "is_round", "high_risk"], p)
+    s = s.join(G.cycle_counts(t, p, graph).select("row_id", "round_trip"), "row_id")
+    hubs = graph.hubs.select(F.col("acct").alias("src"), F.lit(True).alias("hub"))  # a share of all accounts: Spark sees to its size
+    s = s.join(hubs, "src", "left")
+    columns = severity_columns(F.coalesce("hub", F.lit(False)) & F.lit(hub_senders_excluded))
     return s.select("row_id", "split", "day", *(columns[c].cast("double").alias(c) for c in SCENARIOS))
 
 
+def severity_stats(tx: DataFrame, p: Params = P) -> DataFrame:
+    """One row: transfers, hubs, distinct pairs that some transfer closes, and the paths of two edges that could close a cycle."""
+    graph = G.prepared(tx, p)
+    two, _ = G.paths(graph, p.hop, three=False)
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    parts = [count(tx, "rows"), count(graph.hubs, "hubs"), count(graph.closed, "closed_pairs"), count(two, "candidate_paths")]
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)  # one row each
+
+
 def apply_thresholds(sev: DataFrame, thresholds: dict[str, float | None]) -> DataFrame:
     """Adds fired_<scenario> (severity at the threshold or over, and over 0; never without a threshold), fired and rules_any."""
     fires = {c: (F.col(c) >= t) & (F.col(c) > 0) if t is not None else F.lit(False) for c, t in thresholds.items()}

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: The world has some 180 currencies; more pairs than this are an error in the data.
+MAX_PAIRS = 40_000
+
+
 def violations(df: DataFrame, rules: dict[str, Column], unique: str | None = None) -> DataFrame:
     """(check_name, violations): for each rule the rows for which it holds, all in one aggregation; and, as 'rows', the
     rows beyond one for each value of `unique`."""
@@ -21,9 +25,12 @@ def violations(df: DataFrame, rules: dict[str, Column], unique: str | None = Non
 def fx_rates(tx: DataFrame, base: str, split: str = "train") -> DataFrame:
     """(currency, rate): units of each currency for one of the base, from the median ratio of each pair of currencies in
     cross-currency transfers of the split. Pairs of currencies are few, so the least-squares fit of the logarithms,
-    weighted by the pairs' transfers, is solved here. A currency that no chain of pairs links to the base raises."""
+    weighted by the pairs' transfers, is solved here. No pair is left out: too many raise, as does a currency that no chain of pairs links to the base."""
     t = tx.where((F.col("split") == split) & (F.col("payment_currency") != F.col("receiving_currency")) & (F.col("amount_paid") > 0) & (F.col("amount_received") > 0))
-    pairs = t.groupBy("payment_currency", "receiving_currency").agg(F.count("*").alias("n"), F.median(F.col("amount_received") / F.col("amount_paid")).alias("ratio")).limit(10_000).collect()
+    pairs = t.groupBy("payment_currency", "receiving_currency").agg(F.count("*").alias("n"), F.median(F.col("amount_received") / F.col("amount_paid")).alias("ratio"))
+    pairs = pairs.limit(MAX_PAIRS + 1).collect()
+    if len(pairs) > MAX_PAIRS:
+        raise ValueError(f"more than {MAX_PAIRS} pairs of currencies")
     names = sorted({base, *(r.payment_currency for r in pairs), *(r.receiving_currency for r in pairs)})
     reached, edges = {base}, {(r.payment_currency, r.receiving_currency) for r in pairs}
     while more := {y for a, b in edges for x, y in ((a, b), (b, a)) if x in reached and y not in reached}:
@@ -42,3 +49,12 @@ def fx_rates(tx: DataFrame, base: str, split: str = "train") -> DataFrame:
         values[k] = weight * math.log(r.ratio)
     solved = np.linalg.lstsq(rows, values, rcond=None)[0] if place else []
     return tx.sparkSession.createDataFrame([(base, 1.0), *((c, round(math.exp(solved[i]), 9)) for c, i in place.items())], "currency string, rate double")
+
+
+def with_usd(tx: DataFrame, rates: DataFrame) -> DataFrame:
+    """tx with amount_usd: the amount paid over the rate of its currency (units for one of the base). rates: (currency, rate), one row each
+    and few, as fx_rates() gives them. A currency without a rate, or a rate that isn't positive, raises."""
+    r = rates.select(F.col("currency").alias("payment_currency"), F.col("rate").alias("_rate"))
+    found = tx.drop("amount_usd").join(F.broadcast(r), "payment_currency", "left")
+    rate = F.when(F.col("_rate") > 0, F.col("_rate")).otherwise(F.raise_error(F.concat(F.lit("no rate for "), F.coalesce("payment_currency", F.lit("null")))))
+    return found.withColumn("amount_usd", F.col("amount_paid") / rate).drop("_rate")

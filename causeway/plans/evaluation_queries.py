@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from causeway.functions import scalars as S
 from causeway.operators import evaluate as E
 from causeway.operators import rules as R
+from causeway.operators.joins import numbered
 from causeway.plans.feature_queries import SEVERITIES, THRESHOLDS
 from causeway.plans.registry import both, on_transfers
 from causeway.sources import transfers as T
@@ -25,7 +26,7 @@ RATE = 0.05
 
 @on_transfers(CURVE + " SELECT round(threshold, 9) AS threshold, n, tp, fp FROM b")
 def tie_curve(tx):
-    return E.tie_curve(scored(tx)).withColumn("threshold", F.round("threshold", 9))
+    return E.tie_curve(scored(tx)).select(F.round("threshold", 9).alias("threshold"), "n", "tp", "fp")
 
 
 @on_transfers(CURVE + " SELECT round(sum((tp - tp0) / CAST(p AS DOUBLE) * tp / CAST(n AS DOUBLE)), 9) AS pr_auc FROM b")
@@ -63,12 +64,10 @@ def topk_flags(tx):
  f AS (SELECT y, score >= 0.7 AS a, nth <= k AS b, score >= 0.7 OR payment_format = 'signup' AS c FROM r, k)
  SELECT point, sum(CAST(hit AS INTEGER))::BIGINT AS alerts, sum(CAST(hit AND y = 1 AS INTEGER))::BIGINT AS tp FROM (SELECT y, 'deployable' AS point, a AS hit FROM f UNION ALL SELECT y, 'iso_volume', b FROM f UNION ALL SELECT y, 'union', c FROM f) GROUP BY point""")
 def operating_points(tx):
-    from pyspark.sql import Window
-
-    s = scored(tx)
+    s = scored(tx).select("row_id", "score", "y", "payment_format")
     k = s.agg(E.budget(F.count("*"), RATE).alias("k"))
-    top = s.withColumn("nth", F.row_number().over(Window.partitionBy("split").orderBy(F.desc("score"), "row_id"))).crossJoin(F.broadcast(k))
-    points = F.array(*(F.struct(F.lit(n).alias("point"), hit.alias("hit")) for n, hit in (("deployable", F.col("score") >= 0.7), ("iso_volume", F.col("nth") <= F.col("k")), ("union", (F.col("score") >= 0.7) | (F.col("payment_format") == "signup")))))
+    top = numbered(s, [F.desc("score"), F.col("row_id")], "nth").crossJoin(F.broadcast(k))
+    points = F.array(*(F.struct(F.lit(n).alias("point"), hit.alias("hit")) for n, hit in (("deployable", F.col("score") >= 0.7), ("iso_volume", F.col("nth") < F.col("k")), ("union", (F.col("score") >= 0.7) | (F.col("payment_format") == "signup")))))
     p = top.select("y", F.explode(points).alias("p")).select("y", "p.*")
     return p.groupBy("point").agg(F.count_if("hit").alias("alerts"), F.count_if(F.col("hit") & (F.col("y") == 1)).alias("tp"))
 
@@ -158,7 +157,7 @@ def typology_list(tx):
     return s.select("row_id", S.decision_list(rules, "OTHER").alias("label"))
 
 
-both("alerts_page", "SELECT row_id, minute, src, dst FROM tx JOIN sc USING (row_id) WHERE score >= 0.8 AND row_id < 5000 ORDER BY row_id DESC LIMIT 20")
+both("alerts_page", "SELECT row_id, minute, src, dst FROM tx JOIN sc USING (row_id) WHERE score >= 0.8 ORDER BY row_id DESC LIMIT 20")
 both("parity_mismatch", "SELECT count_if(a.minute IS DISTINCT FROM b.minute) AS minute_diff, count_if(a.usd_c IS DISTINCT FROM b.usd_c) AS amount_diff, count(*) AS n FROM tx a JOIN tx b ON a.row_id = b.row_id")
 both("multi_seed", "WITH r AS (SELECT row_id % 5 AS seed, avg(CAST(CASE WHEN score >= 0.7 THEN 1 ELSE 0 END AS DOUBLE)) AS v FROM sc GROUP BY row_id % 5) SELECT round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS std, count(v) AS n_defined FROM r")
 both("histogram", "SELECT CAST(floor(score * 10) AS BIGINT) AS bucket, count(*) AS n, CAST(sum(count(*)) OVER (ORDER BY CAST(floor(score * 10) AS BIGINT)) AS BIGINT) AS upto FROM sc GROUP BY CAST(floor(score * 10) AS BIGINT)")

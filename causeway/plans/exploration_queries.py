@@ -30,23 +30,47 @@ both("eda_splits", "SELECT split, count(*) AS n, round(count_if(is_laundering =
 both("eda_train_degree", "WITH o AS (SELECT src AS acct, count(*) AS d_out FROM tx WHERE split = 'train' GROUP BY src), i AS (SELECT dst AS acct, count(*) AS d_in FROM tx WHERE split = 'train' GROUP BY dst), d AS (SELECT coalesce(o.acct, i.acct) AS acct, coalesce(d_out, 0) AS d_out, coalesce(d_in, 0) AS d_in FROM o FULL OUTER JOIN i ON o.acct = i.acct) SELECT count(*) AS accounts, max(d_out) AS most_out, max(d_in) AS most_in, percentile_disc(0.5) WITHIN GROUP (ORDER BY d_out + d_in) AS p50, percentile_disc(0.99) WITHIN GROUP (ORDER BY d_out + d_in) AS p99 FROM d")
 both("eda_ties", "WITH m AS (SELECT minute, count(*) AS n FROM tx GROUP BY minute), s AS (SELECT src, minute, count(*) AS n FROM tx GROUP BY src, minute) SELECT round((SELECT sum(n) FROM m WHERE n > 1) / CAST((SELECT count(*) FROM tx) AS DOUBLE), 9) AS in_minute, round(coalesce((SELECT sum(n) FROM s WHERE n > 1), 0) / CAST((SELECT count(*) FROM tx) AS DOUBLE), 9) AS in_src_minute")
 both("sizing_pairs", "SELECT count(*) AS pairs, max(n) AS most FROM (SELECT src, dst, count(*) AS n FROM tx GROUP BY src, dst) p")
-both("sizing_ring", "SELECT max(n) AS most_live FROM (SELECT count(*) OVER (ORDER BY minute RANGE BETWEEN 4320 PRECEDING AND CURRENT ROW) AS n FROM tx) w")
 both("sizing_in_window", "SELECT max(n) AS most FROM (SELECT count(*) OVER (PARTITION BY dst ORDER BY minute RANGE BETWEEN 1440 PRECEDING AND CURRENT ROW) AS n FROM tx) w")
 both("sizing_sums", "SELECT CAST(max(s) AS BIGINT) AS most, max(s) < 9007199254740992 AS exact FROM (SELECT sum(usd_c) OVER (PARTITION BY dst ORDER BY minute RANGE BETWEEN 4320 PRECEDING AND CURRENT ROW) AS s FROM tx) w")
-both("eda_csv_traps", "SELECT count_if(from_bank LIKE '0%') AS zero_padded, count_if(try_cast(from_bank AS INTEGER) IS NULL) AS not_numbers, count(DISTINCT length(from_bank)) AS lengths, (SELECT count(*) FROM (SELECT row_id, minute, lag(minute) OVER (ORDER BY row_id) AS before FROM tx) t WHERE before > minute) AS inversions FROM tx")
 both("amount_domains", "SELECT min(usd_c) AS least, max(usd_c) AS most, CAST(sum(usd_c % 100) AS BIGINT) AS remainders, CAST(sum(CASE WHEN usd_c > 100000 THEN 1 ELSE 0 END) AS BIGINT) AS large FROM tx")
 both("json_scan", "SELECT count(*) AS n, count(DISTINCT props) AS kinds, max(length(props)) AS longest FROM events")
 both("vocabulary", "SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT payment_format AS v FROM tx WHERE split = 'train') t")
 both("zscore_fit", "SELECT round(avg(ln(1 + amount_usd)), 6) AS mu, round(greatest(stddev_pop(ln(1 + amount_usd)), 0.000001), 6) AS sigma FROM tx WHERE split = 'train'")
 both("snapshot_zscore", "SELECT day, round(avg(amount_usd), 6) AS mu, round(stddev_samp(amount_usd), 6) AS sigma FROM tx GROUP BY day")
 both("split_bounds", "SELECT split, min(row_id) AS first_row, max(row_id) AS last_row, count(*) AS n, max(row_id) - min(row_id) + 1 = count(*) AS contiguous FROM tx GROUP BY split")
-both("first_rank_bound", "SELECT row_id, min(row_id) OVER (PARTITION BY minute) - 1 AS bound, count(*) OVER (ORDER BY minute RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS visible FROM tx WHERE day <= 3")
 both("degree_hist", "WITH d AS (SELECT dst AS acct, count(*) AS deg FROM tx WHERE split = 'train' GROUP BY dst), a AS (SELECT src AS acct FROM tx UNION SELECT dst FROM tx) SELECT coalesce(deg, 0) AS deg, count(*) AS accounts FROM a LEFT JOIN d ON a.acct = d.acct GROUP BY coalesce(deg, 0)")
-both("trace_offsets", "WITH m AS (SELECT minute, count(*) AS n FROM tx GROUP BY minute), g AS (SELECT minute, n, least(minute - coalesce(lag(minute) OVER (ORDER BY minute), minute), 15) AS gap FROM m) SELECT minute, n, CAST(sum(gap) OVER (ORDER BY minute) AS BIGINT) AS tau FROM g")
 both("plan_points", "WITH p AS (SELECT day, count(*) AS n FROM tx GROUP BY day) SELECT day, n, CAST(coalesce(sum(n) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_offset FROM p")
 both("negative_sample_sizes", "SELECT split, CAST(round(0.1 * count_if(is_laundering = 0)) AS BIGINT) AS negatives, count_if(is_laundering = 1) AS positives FROM tx JOIN lab USING (row_id) GROUP BY split")
 
 
+@on_transfers("SELECT max(n) AS most_live FROM (SELECT count(*) OVER (ORDER BY minute RANGE BETWEEN 4320 PRECEDING AND CURRENT ROW) AS n FROM tx) w")
+def sizing_ring(tx):
+    """Most transfers alive at once, from running sums over minutes: no row is ever sorted in one task."""
+    m = J.running(tx.groupBy("minute").agg(F.count("*").alias("n")), ["minute"], {"upto": "n"})
+    w = J.running_before(m, tx.select((F.col("minute") - 4321).alias("minute")).distinct(), "minute", "upto")
+    return m.join(w.select((F.col("minute") + 4321).alias("minute"), F.col("before")), "minute").agg(F.max(F.col("upto") - F.col("before")).alias("most_live"))
+
+
+@on_transfers("SELECT row_id, min(row_id) OVER (PARTITION BY minute) - 1 AS bound, count(*) OVER (ORDER BY minute RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS visible FROM tx")
+def first_rank_bound(tx):
+    m = J.running(tx.groupBy("minute").agg(F.count("*").alias("n"), F.min("row_id").alias("first")), ["minute"], {"upto": "n"})
+    return tx.select("row_id", "minute").join(m, "minute").select("row_id", (F.col("first") - 1).alias("bound"), (F.col("upto") - F.col("n")).alias("visible"))
+
+
+@on_transfers("SELECT count_if(from_bank LIKE '0%') AS zero_padded, count_if(try_cast(from_bank AS INTEGER) IS NULL) AS not_numbers, count(DISTINCT length(from_bank)) AS lengths, (SELECT count(*) FROM (SELECT row_id, minute, lag(minute) OVER (ORDER BY row_id) AS before FROM tx) t WHERE before > minute) AS inversions FROM tx")
+def eda_csv_traps(tx):
+    banks = tx.agg(F.count_if(F.col("from_bank").startswith("0")).alias("zero_padded"), F.count_if(F.expr("try_cast(from_bank as int) is null")).alias("not_numbers"), F.countDistinct(F.length("from_bank")).alias("lengths"))
+    order = J.lagged(tx.select("row_id", "minute"), ["row_id"], "minute", "before")
+    return banks.crossJoin(F.broadcast(order.agg(F.count_if(F.col("before") > F.col("minute")).alias("inversions"))))
+
+
+@on_transfers("WITH m AS (SELECT minute, count(*) AS n FROM tx GROUP BY minute), g AS (SELECT minute, n, least(minute - coalesce(lag(minute) OVER (ORDER BY minute), minute), 15) AS gap FROM m) SELECT minute, n, CAST(sum(gap) OVER (ORDER BY minute) AS BIGINT) AS tau FROM g")
+def trace_offsets(tx):
+    m = J.lagged(tx.groupBy("minute").agg(F.count("*").alias("n")), ["minute"], "minute", "before")
+    m = m.withColumn("gap", F.least(F.col("minute") - F.coalesce("before", "minute"), F.lit(15)))
+    return J.running(m, ["minute"], {"tau": "gap"}).select("minute", "n", "tau")
+
+
 @on_transfers("WITH r AS (SELECT row_id, row_number() OVER (ORDER BY ts, row_id) - 1 AS rank FROM tx) SELECT row_id, rank FROM r")
 def global_rank(tx):
     return J.numbered(tx.select("row_id", "ts"), [F.col("ts"), F.col("row_id")]).select("row_id", "rank")
@@ -66,11 +90,12 @@ def accounts_mapped(tx):
     return t.join(s, ["from_bank", "from_account"]).join(d, ["to_bank", "to_account"]).select("row_id", "src_id", "dst_id")
 
 
-@on_transfers("WITH p AS (SELECT src, payment_format, row_id, row_number() OVER (PARTITION BY src, payment_format ORDER BY row_id) AS nth FROM tx WHERE row_id % 3 = 0), q AS (SELECT src, payment_format, row_id, row_number() OVER (PARTITION BY src, payment_format ORDER BY row_id DESC) AS nth FROM tx WHERE row_id % 3 = 1) SELECT p.row_id, q.row_id AS matched FROM p LEFT JOIN q ON p.src = q.src AND p.payment_format = q.payment_format AND p.nth = q.nth")
+@on_transfers("WITH p AS (SELECT src, payment_format, row_id, row_number() OVER (PARTITION BY src, payment_format ORDER BY row_id) AS nth FROM tx), q AS (SELECT dst, payment_format, row_id, row_number() OVER (PARTITION BY dst, payment_format ORDER BY row_id DESC) AS nth FROM tx) SELECT p.row_id, q.row_id AS matched FROM p LEFT JOIN q ON p.src = q.dst AND p.payment_format = q.payment_format AND p.nth = q.nth")
 def labels_dup_join(tx):
-    nth = lambda d, order: d.withColumn("nth", F.row_number().over(Window.partitionBy("src", "payment_format").orderBy(order)))
-    p = nth(tx.where("row_id % 3 = 0").select("src", "payment_format", "row_id"), F.col("row_id"))
-    q = nth(tx.where("row_id % 3 = 1").select("src", "payment_format", F.col("row_id").alias("matched")), F.desc("matched"))
+    """Each account's transfers out of one format meet those into it, the first out with the last in and so on."""
+    nth = lambda d, key, order: d.withColumn("nth", F.row_number().over(Window.partitionBy(key, "payment_format").orderBy(order)))
+    p = nth(tx.select("src", "payment_format", "row_id"), "src", F.col("row_id"))
+    q = nth(tx.select(F.col("dst").alias("src"), "payment_format", F.col("row_id").alias("matched")), "src", F.desc("matched"))
     return p.join(q, ["src", "payment_format", "nth"], "left").select("row_id", "matched")
 
 
@@ -90,12 +115,13 @@ def validate_violations(tx):
     return V.violations(tx, {"day": F.col("day") != F.expr("minute div 1440") + 1, "amount": (F.col("amount_paid") < 0) | F.isnan("amount_paid"), "split": F.col("split").isNull(), "self_loop": F.col("self_loop") != (F.col("src") == F.col("dst"))}, unique="row_id")
 
 
-CASES = "c AS (SELECT row_id AS case_id, src AS u, dst AS v, minute FROM tx WHERE row_id % 400 = 7)"
+#: Every transfer whose score raises an alert is a case.
+CASES = "c AS (SELECT row_id AS case_id, src AS u, dst AS v, minute FROM tx JOIN sc USING (row_id) WHERE score >= 0.7)"
 NEAR = """o AS (SELECT src AS a, dst AS other, minute AS t, row_id, 'out' AS direction FROM tx UNION ALL SELECT dst, src, minute, row_id, 'in' FROM tx)"""
 
 
 def cases(tx):
-    return tx.where("row_id % 400 = 7").select(F.col("row_id").alias("case_id"), F.col("src").alias("u"), F.col("dst").alias("v"), "minute")
+    return tx.where(T.score(F.col("row_id")) >= 0.7).select(F.col("row_id").alias("case_id"), F.col("src").alias("u"), F.col("dst").alias("v"), "minute")
 
 
 @on_transfers(f"""WITH {CASES}, {NEAR}, n AS (SELECT case_id, u AS node, minute FROM c), j AS (SELECT n.case_id, n.node, o.direction, o.other, o.row_id, o.t, row_number() OVER (PARTITION BY n.case_id, n.node, o.direction ORDER BY o.t DESC, o.row_id DESC) AS nth
@@ -127,14 +153,15 @@ def bidirected(tx):
     return G.bidirected(tx)
 
 
-KNN = f"""WITH {CASES}, j AS (SELECT c.case_id, t.src AS neighbour, t.row_id, row_number() OVER (PARTITION BY c.case_id ORDER BY t.minute DESC, t.row_id DESC) AS nth FROM c JOIN tx t ON t.dst = c.u AND t.minute < c.minute), k AS (SELECT * FROM j WHERE nth <= 8)"""
+ALL_BEFORE = "t AS (SELECT row_id, src, dst, minute FROM tx)"
+KNN = f"""WITH {ALL_BEFORE}, c AS (SELECT row_id AS case_id, src AS u, minute FROM t), j AS (SELECT c.case_id, t.src AS neighbour, t.row_id, row_number() OVER (PARTITION BY c.case_id ORDER BY t.minute DESC, t.row_id DESC) AS nth FROM c JOIN t ON t.dst = c.u AND t.minute < c.minute), k AS (SELECT * FROM j WHERE nth <= 8)"""
 
 
 def last_neighbours(tx):
-    """The newest eight transfers into each case's account before its minute: no window, so a plain as-of join of few accounts."""
-    into = tx.select(F.col("src").alias("neighbour"), F.col("dst").alias("at"), F.col("minute").alias("t"), "row_id")
-    c = cases(tx).select("case_id", "u", "minute")
-    return J.newest(into.join(c, (F.col("at") == F.col("u")) & (F.col("t") < F.col("minute"))), ["case_id"], [F.desc("t"), F.desc("row_id")], 8)
+    """The newest eight transfers into the sender of every transfer, before its minute."""
+    into = tx.select(F.col("dst").alias("at"), F.col("minute").alias("t"), "row_id", F.col("src").alias("neighbour"))
+    nodes = tx.select(F.col("row_id").alias("case_id"), F.col("src").alias("node"), "minute")
+    return J.last_before(into, nodes, 8)
 
 
 @on_transfers(KNN + " SELECT case_id, neighbour, row_id FROM k")

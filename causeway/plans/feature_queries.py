@@ -1,15 +1,16 @@
-"""The per-transfer features by group. The oracles use plain sliding frames; the plans use differences of running sums."""
+"""The per-transfer features by group. The oracles use plain sliding frames; the plans read states by minute."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from causeway.functions import scalars as S
-from causeway.operators import asof as A
 from causeway.operators import features as X
 from causeway.operators import graph as G
 from causeway.operators import rules as R
-from causeway.plans.registry import on_transfers, query
+from causeway.operators import timelines as TL
+from causeway.operators.table import feature_table as feature_row
+from causeway.plans.registry import ORACLES, on_transfers, query
 from causeway.sources import transfers as T
 
 P = X.P
@@ -53,30 +54,29 @@ VEL = ["cnt_s", "cnt_l", "uniq_s", "uniq_l"]
 
 @on_transfers(_velocity("u_out", "src", "dst"))
 def vel_sender(tx):
-    return X.side(X.out_stream(X.prepared(tx)), True, "u_out", VEL)
+    return X.of_ends(X.prepared(tx), u=[f"out_{c}" for c in VEL])
 
 
 @on_transfers(_velocity("v_in", "dst", "src"))
 def vel_receiver(tx):
-    return X.side(X.in_stream(X.prepared(tx)), True, "v_in", VEL)
+    return X.of_ends(X.prepared(tx), v=[f"in_{c}" for c in VEL])
 
 
 @on_transfers(_far_velocity("v_out", "out"))
 def vel_query_rows_out(tx):
-    return X.side(X.out_stream(X.prepared(tx)), False, "v_out", VEL)
+    return X.of_ends(X.prepared(tx), v=[f"out_{c}" for c in VEL])
 
 
 @on_transfers(_far_velocity("u_in", "in"))
 def vel_query_rows_in(tx):
-    return X.side(X.in_stream(X.prepared(tx)), False, "u_in", VEL)
+    return X.of_ends(X.prepared(tx), u=[f"in_{c}" for c in VEL])
 
 
 @on_transfers(f"""WITH {EV} SELECT row_id,
  round(ln(1 + coalesce(CAST(sum(usd_c) {frame('src', P.short)} AS BIGINT), 0) / 100.0::DOUBLE), 6) AS u_out_sum_1d, round(ln(1 + coalesce(CAST(sum(usd_c) {frame('src', P.long)} AS BIGINT), 0) / 100.0::DOUBLE), 6) AS u_out_sum_3d,
  round(ln(1 + coalesce(CAST(sum(usd_c) {frame('dst', P.short)} AS BIGINT), 0) / 100.0::DOUBLE), 6) AS v_in_sum_1d, round(ln(1 + coalesce(CAST(sum(usd_c) {frame('dst', P.long)} AS BIGINT), 0) / 100.0::DOUBLE), 6) AS v_in_sum_3d FROM ev""")
 def amt_sums(tx):
-    t = X.prepared(tx)
-    both = A.by_row(X.side(X.out_stream(t), True, "u_out", ["sum_s", "sum_l"]), X.side(X.in_stream(t), True, "v_in", ["sum_s", "sum_l"]))
+    both = X.of_ends(X.prepared(tx), ["out_sum_s", "out_sum_l"], ["in_sum_s", "in_sum_l"])
     return both.select("row_id", *(F.round(X.log_cents(f"{e}_sum_{k}"), 6).alias(f"{e}_sum_{n}") for e in ("u_out", "v_in") for k, n in (("s", "1d"), ("l", "3d"))))
 
 
@@ -91,9 +91,8 @@ def _moments(by: str, end: str) -> str:
 
 @on_transfers(f"WITH {EV} SELECT row_id, {_moments('src', 'u_out')}, {_moments('dst', 'v_in')} FROM ev")
 def amt_moments(tx):
-    t = X.prepared(tx)
     need = ["cnt_s", "cnt_l", *X.MOMENTS]
-    m = A.by_row(X.side(X.out_stream(t), True, "u_out", need), X.side(X.in_stream(t), True, "v_in", need))
+    m = X.of_ends(X.prepared(tx), [f"out_{c}" for c in need], [f"in_{c}" for c in need])
     out = [F.col("row_id")]
     for e in ("u_out", "v_in"):
         for k, n in (("s", "1d"), ("l", "3d")):
@@ -105,8 +104,8 @@ def amt_moments(tx):
  round(l - CAST(sum(lq) {frame('src', P.short)} AS DOUBLE) / {S.LOG_UNIT}.0::DOUBLE / count(*) {frame('src', P.short)}, 4) + 0.0 AS u_amt_dev_1d,
  round(l - CAST(sum(lq) {frame('dst', P.short)} AS DOUBLE) / {S.LOG_UNIT}.0::DOUBLE / count(*) {frame('dst', P.short)}, 4) + 0.0 AS v_amt_dev_1d FROM ev""")
 def amt_max_dev(tx):
-    t = X.prepared(tx)
-    m = A.by_row(t.select("row_id", "l"), X.side(X.out_stream(t), True, "u_out", ["cnt_s", "lq_s", "max_s"]), X.side(X.in_stream(t), True, "v_in", ["cnt_s", "lq_s", "max_s"]))
+    need = ["cnt_s", "lq_s", "max_s"]
+    m = X.of_ends(X.prepared(tx), [f"out_{c}" for c in need], [f"in_{c}" for c in need], ["l"])
     dev = lambda e: F.round(F.col("l") - X.mean(f"{e}_cnt_s", f"{e}_lq_s"), 4) + 0.0
     return m.select("row_id", F.round("u_out_max_s", 6).alias("u_out_max_1d"), F.round("v_in_max_s", 6).alias("v_in_max_1d"), dev("u_out").alias("u_amt_dev_1d"), dev("v_in").alias("v_amt_dev_1d"))
 
@@ -115,15 +114,15 @@ def amt_max_dev(tx):
  {gap_sql("max(minute) " + frame('src, dst', 'UNBOUNDED'))} AS pair_gap, CAST(is_new AS INTEGER) AS pair_is_new FROM ev""")
 def flow_pair(tx):
     t = X.prepared(tx)
-    p = X.pair_stream(t).join(t.select("row_id", "minute", "is_new"), "row_id")
-    return p.select("row_id", F.col("pair_cnt_s").alias("pair_cnt_1d"), F.col("pair_cnt_l").alias("pair_cnt_3d"), S.capped_gap(F.col("minute"), F.col("pair_last"), P.cap_gap).alias("pair_gap"), F.col("is_new").cast("int").alias("pair_is_new"))
+    p = t.select("row_id", "src", "dst", "minute").join(TL.pair_minutes(t, P), ["src", "dst", "minute"])
+    is_new = F.col("minute") == F.col("first_min")
+    return p.select("row_id", F.col("pair_cnt_s").alias("pair_cnt_1d"), F.col("pair_cnt_l").alias("pair_cnt_3d"), S.capped_gap(F.col("minute"), F.col("pair_last"), P.cap_gap).alias("pair_gap"), is_new.cast("int").alias("pair_is_new"))
 
 
 @on_transfers(f"""WITH {EV}, {both_ends('in', f"row_id, coalesce(CAST(sum(nsl_c) {frame('acct', P.pass_through)} AS BIGINT), 0) AS inflow_c")}
  SELECT row_id, inflow_c, round(ln(1 + inflow_c / 100.0::DOUBLE), 6) AS u_inflow_12h, CASE WHEN NOT self_loop AND inflow_c > 0 THEN round(usd_c / CAST(inflow_c AS DOUBLE), 6) END AS pt_ratio_12h FROM far JOIN ev USING (row_id)""")
 def flow_inflow(tx):
-    t = X.prepared(tx)
-    i = X.side(X.in_stream(t), False, "u_in", ["inflow_c"]).join(t.select("row_id", "usd_c", "self_loop"), "row_id")
+    i = X.of_ends(X.prepared(tx), u=["in_inflow_c"], keep=["usd_c", "self_loop"])
     ratio = F.when(~F.col("self_loop") & (F.col("u_in_inflow_c") > 0), F.round(F.col("usd_c") / F.col("u_in_inflow_c"), 6))
     return i.select("row_id", F.col("u_in_inflow_c").alias("inflow_c"), F.round(X.log_cents("u_in_inflow_c"), 6).alias("u_inflow_12h"), ratio.alias("pt_ratio_12h"))
 
@@ -138,9 +137,7 @@ def _balance(end: str, own: str, far: str) -> str:
  w AS (SELECT row_id, k, coalesce(CAST(sum(out_c) {frame('a', P.long)} AS BIGINT), 0) AS o_c, coalesce(CAST(sum(in_c) {frame('a', P.long)} AS BIGINT), 0) AS i_c FROM s QUALIFY row_id IS NOT NULL)
  SELECT u.row_id, {_balance('u', 'u.o_c', 'u.i_c')}, {_balance('v', 'v.o_c', 'v.i_c')} FROM w u JOIN w v ON u.row_id = v.row_id AND u.k = 1 AND v.k = 2""")
 def flow_balance(tx):
-    t = X.prepared(tx)
-    o, i = X.out_stream(t), X.in_stream(t)
-    s = A.by_row(X.ends(o, "u_out", ["sum_l"], "v_out", ["sum_l"]), X.ends(i, "v_in", ["sum_l"], "u_in", ["sum_l"]))
+    s = X.of_ends(X.prepared(tx), ["out_sum_l", "in_sum_l"], ["out_sum_l", "in_sum_l"])
     bal = lambda e: F.when(F.col(f"{e}_out_sum_l") + F.col(f"{e}_in_sum_l") > 0, F.round((F.col(f"{e}_out_sum_l") - F.col(f"{e}_in_sum_l")) / (F.col(f"{e}_out_sum_l") + F.col(f"{e}_in_sum_l")), 6) + 0.0)
     return s.select("row_id", bal("u").alias("u_bal_3d"), bal("v").alias("v_bal_3d"))
 
@@ -148,7 +145,7 @@ def flow_balance(tx):
 @on_transfers("""WITH p AS (SELECT src, dst, min(minute) AS first_min FROM tx GROUP BY ALL)
  SELECT p.src, p.dst, p.first_min, (SELECT count(*) FROM p q WHERE q.src = p.src AND q.first_min < p.first_min) AS port_out, (SELECT count(*) FROM p q WHERE q.dst = p.dst AND q.first_min < p.first_min) AS port_in FROM p""")
 def ports(tx):
-    return X.ports(tx)
+    return X.ports(X.prepared(tx))
 
 
 @on_transfers("""WITH f AS (SELECT src, dst, min(minute * 1000000000 + row_id) AS f FROM tx GROUP BY ALL) SELECT src, dst, CAST(row_number() OVER (PARTITION BY dst ORDER BY f) - 1 AS INTEGER) AS port FROM f""")
@@ -160,38 +157,34 @@ def ports_ordinal(tx):
  w AS (SELECT row_id, k, {gap_sql("max(CASE WHEN o = 1 THEN minute END) " + frame('a', 'UNBOUNDED'))} AS og, {gap_sql("max(CASE WHEN i = 1 THEN minute END) " + frame('a', 'UNBOUNDED'))} AS ig FROM s QUALIFY row_id IS NOT NULL)
  SELECT u.row_id, u.og AS u_out_gap, u.ig AS u_in_gap, v.ig AS v_in_gap, v.og AS v_out_gap FROM w u JOIN w v ON u.row_id = v.row_id AND u.k = 1 AND v.k = 2""")
 def gaps(tx):
-    t = X.prepared(tx)
-    o, i = X.out_stream(t), X.in_stream(t)
-    s = A.by_row(t.select("row_id", "minute"), X.ends(o, "u_out", ["last"], "v_out", ["last"]), X.ends(i, "v_in", ["last"], "u_in", ["last"]))
+    s = X.of_ends(X.prepared(tx), ["out_last", "in_last"], ["out_last", "in_last"], ["minute"])
     return s.select("row_id", *(S.capped_gap(F.col("minute"), F.col(f"{e}_last"), P.cap_gap).alias(f"{e}_gap") for e in ("u_out", "u_in", "v_in", "v_out")))
 
 
 @on_transfers(f"""WITH {EV} SELECT row_id, CAST(in_band AS INTEGER) AS in_band, count(*) FILTER (WHERE in_band) {frame('src', P.short)} AS u_out_inband_1d,
  count(*) FILTER (WHERE is_round) {frame('src', P.short)} AS u_out_round_1d, count(*) FILTER (WHERE is_new) {frame('src', P.short)} AS u_out_newcp_1d FROM ev""")
 def rule_support_counts(tx):
-    t = X.prepared(tx)
-    s = X.side(X.out_stream(t), True, "u_out", ["n_in_band", "n_is_round", "n_is_new"]).join(t.select("row_id", "in_band"), "row_id")
+    s = X.of_ends(X.prepared(tx), u=["out_n_in_band", "out_n_is_round", "out_n_is_new"], keep=["in_band"])
     return s.select("row_id", F.col("in_band").cast("int").alias("in_band"), F.col("u_out_n_in_band").alias("u_out_inband_1d"), F.col("u_out_n_is_round").alias("u_out_round_1d"), F.col("u_out_n_is_new").alias("u_out_newcp_1d"))
 
 
 @on_transfers(f"WITH {EV} SELECT row_id, " + ", ".join(f"count(*) FILTER (WHERE fmt = {k}) {frame('src', P.short)} AS u_out_fmt_{f}_1d" for k, f in enumerate(P.formats)) + " FROM ev")
 def fmt_counts(tx):
-    s = X.side(X.out_stream(X.prepared(tx)), True, "u_out", [f"n_fmt_{k}" for k in range(len(P.formats))])
+    s = X.of_ends(X.prepared(tx), u=[f"out_n_fmt_{k}" for k in range(len(P.formats))])
     return s.select("row_id", *(F.col(f"u_out_n_fmt_{k}").alias(f"u_out_fmt_{f}_1d") for k, f in enumerate(P.formats)))
 
 
 @on_transfers(f"WITH {EV} SELECT row_id, CASE WHEN fmt < 0 THEN 0 ELSE count(*) {frame('dst, fmt', P.short)} END AS v_in_same_fmt FROM ev")
 def same_fmt(tx):
-    return X.same_format(X.prepared(tx))
+    s = X.of_ends(X.prepared(tx), v=[f"in_n_fmt_{k}" for k in range(len(P.formats))], keep=["fmt"])
+    return s.select("row_id", X.same_format().alias("v_in_same_fmt"))
 
 
 @on_transfers(f"""WITH {EV}, s AS (SELECT src AS a, minute, dst AS o, NULL AS i, NULL::BIGINT AS row_id, 0 AS k FROM ev UNION ALL SELECT dst, minute, NULL, src, NULL, 0 FROM ev UNION ALL SELECT src, minute, NULL, NULL, row_id, 1 FROM ev UNION ALL SELECT dst, minute, NULL, NULL, row_id, 2 FROM ev),
  w AS (SELECT row_id, k, least(count(DISTINCT o) {frame('a', P.short)}, count(DISTINCT i) {frame('a', P.short)}) AS gs FROM s QUALIFY row_id IS NOT NULL)
  SELECT u.row_id, u.gs AS gs_u_1d, v.gs AS gs_v_1d FROM w u JOIN w v ON u.row_id = v.row_id AND u.k = 1 AND v.k = 2""")
 def gather_scatter(tx):
-    t = X.prepared(tx)
-    o, i = X.out_stream(t), X.in_stream(t)
-    s = A.by_row(X.ends(o, "u_out", ["uniq_s"], "v_out", ["uniq_s"]), X.ends(i, "v_in", ["uniq_s"], "u_in", ["uniq_s"]))
+    s = X.of_ends(X.prepared(tx), ["out_uniq_s", "in_uniq_s"], ["out_uniq_s", "in_uniq_s"])
     return s.select("row_id", *(F.least(f"{e}_in_uniq_s", f"{e}_out_uniq_s").alias(f"gs_{e}_1d") for e in "uv"))
 
 
@@ -275,6 +268,37 @@ def rule_tuning(spark, sf_dir):
     return spark.createDataFrame([(c, t) for c, t in best.items()], "scenario string, threshold double")
 
 
-@on_transfers()
-def feature_table(tx):
-    return X.feature_table(tx)
+@on_transfers(CYCLES + " SELECT (SELECT count(*) FROM tx) AS rows, (SELECT count(*) FROM hub) AS hubs, (SELECT count(*) FROM (SELECT DISTINCT src, dst FROM e)) AS closed_pairs, (SELECT count(*) FROM p2 WHERE (b, a) IN (SELECT (src, dst) FROM e)) AS candidate_paths")
+def severity_stats(tx):
+    return R.severity_stats(tx)
+
+
+def _whole_row() -> str:
+    """The groups' oracles, which are written as plain frames and joins, side by side."""
+    by_row = ["tx_features", "vel_sender", "vel_receiver", "vel_query_rows_out", "vel_query_rows_in", "amt_sums", "amt_moments", "amt_max_dev", "flow_pair", "flow_inflow", "flow_balance", "gaps", "gather_scatter", "rule_support_counts", "fmt_counts", "same_fmt", "cycles"]
+    far = ", ".join(f"round(ln(1 + coalesce(CAST(sum(c) {frame('a', w)} AS BIGINT), 0) / 100.0::DOUBLE), 6) AS s_{k}" for k, w in (("1d", P.short), ("3d", P.long)))
+    far_sums = lambda own, other: f"(WITH {T.SQL}, s AS (SELECT {own} AS a, minute, usd_c AS c, NULL::BIGINT AS row_id FROM tx UNION ALL SELECT {other}, minute, NULL, row_id FROM tx) SELECT row_id, {far} FROM s QUALIFY row_id IS NOT NULL)"
+    rev = f"(WITH {T.SQL}, s AS (SELECT src AS a, dst AS b, minute, minute AS t, NULL::BIGINT AS row_id FROM tx UNION ALL SELECT dst, src, minute, NULL, row_id FROM tx), l AS (SELECT row_id, minute, max(t) {frame('a, b', 'UNBOUNDED')} AS last FROM s QUALIFY row_id IS NOT NULL) SELECT row_id, {gap_sql('last')} AS rev_pair_gap FROM l)"
+    pick = ["t.row_id", "t.day", "t.split", "tx_features.* EXCLUDE (row_id)"]
+    names = {"vel_sender": "u_out", "vel_receiver": "v_in", "vel_query_rows_out": "v_out", "vel_query_rows_in": "u_in"}
+    for q, end in names.items():
+        pick += [f"{q}.{end}_{c}_{k} AS {end}_{c}_{tag}" for c in ("cnt", "uniq") for k, tag in (("s", "1d"), ("l", "3d"))]
+    pick += [f"{q}.* EXCLUDE (row_id)" for q in ("amt_sums", "amt_moments", "amt_max_dev", "flow_pair", "flow_balance", "gaps", "gather_scatter", "rule_support_counts", "fmt_counts")]
+    pick += ["o.s_1d AS v_out_sum_1d", "o.s_3d AS v_out_sum_3d", "i.s_1d AS u_in_sum_1d", "i.s_3d AS u_in_sum_3d", "flow_inflow.inflow_c", "flow_inflow.u_inflow_12h", "flow_inflow.pt_ratio_12h"]
+    pick += [f"round(ln(1 + least(ports.port_{k}, {P.cap_port})), 6) AS {k}_port" for k in ("out", "in")] + ["r.rev_pair_gap", "same_fmt.v_in_same_fmt AS v_in_same_fmt_1d"]
+    pick += [f"cycles.cyc{k} AS cyc{k}_2d" for k in (2, 3, 4)] + [f"coalesce(sg_counts.sg_{k}, 0) AS sg_{k}_1d" for k in ("mids", "srcs")] + [f"severities.{c} AS sev_{c}" for c in R.SCENARIOS]
+    joins = " ".join(f"JOIN ({ORACLES[q]}) {q} ON {q}.row_id = t.row_id" for q in [*by_row, "severities"])
+    return f"""SELECT {', '.join(pick)} FROM tx t {joins} LEFT JOIN ({ORACLES['sg_counts']}) sg_counts ON sg_counts.row_id = t.row_id
+ JOIN ({ORACLES['ports']}) ports ON ports.src = t.src AND ports.dst = t.dst JOIN {far_sums('src', 'dst')} o ON o.row_id = t.row_id JOIN {far_sums('dst', 'src')} i ON i.row_id = t.row_id JOIN {rev} r ON r.row_id = t.row_id"""
+
+
+#: Digits that two engines' logarithms and roots agree to.
+DIGITS = {"_mean_": 4, "_std_": 3, "_amt_dev_": 4, "sev_rapid": 9}
+
+
+@query(_whole_row())
+def feature_table(spark, sf_dir):
+    f = feature_row(T.transfers(spark, sf_dir))
+    doubles = [c for c, t in f.dtypes if t == "double"]
+    digits = lambda c: next((n for part, n in DIGITS.items() if part in c), 6)
+    return f.withColumns({c: F.round(c, digits(c)) + 0.0 for c in doubles})

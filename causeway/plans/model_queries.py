@@ -24,7 +24,7 @@ def assert_inputs(columns: list[str]) -> list[str]:
 
 def vectors(tx):
     t = X.prepared(tx)
-    s = X.side(X.out_stream(t), True, "u_out", ["cnt_s", "uniq_s", "sum_s", "cnt_l"]).join(t.select("row_id", "split", "l", "fmt", "in_band", "is_round"), "row_id").join(T.labels(tx), "row_id")
+    s = X.of_ends(t, u=["out_cnt_s", "out_uniq_s", "out_sum_s", "out_cnt_l"], keep=["split", "l", "fmt", "in_band", "is_round"]).join(T.labels(tx), "row_id")
     s = s.withColumns({"in_band": F.col("in_band").cast("int"), "is_round": F.col("is_round").cast("int"), "label": F.col("is_laundering").cast("double")})
     inputs = assert_inputs(["u_out_cnt_s", "u_out_uniq_s", "u_out_sum_s", "u_out_cnt_l", "l", "fmt", "in_band", "is_round"])
     return VectorAssembler(inputCols=inputs, outputCol="features").transform(s).select("row_id", "split", "label", "features")

@@ -17,7 +17,7 @@ both("join_membership_or", "SELECT count_if(l_partkey IN (SELECT p_partkey FROM
 both("set_union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 both("set_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 both("set_except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
-both("set_except_all", "SELECT o_orderstatus AS s FROM orders EXCEPT ALL SELECT l_linestatus FROM lineitem WHERE l_orderkey < 100")
+both("set_except_all", "SELECT o_orderstatus AS s FROM orders EXCEPT ALL SELECT l_linestatus FROM lineitem")
 both("rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 both("cube", "SELECT l_returnflag, l_linestatus, count(*) AS n, grouping(l_returnflag) AS g FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 both("grouping_sets", "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())")
@@ -33,7 +33,7 @@ both("conditional_aggregates", "SELECT o_orderpriority, count(*) FILTER (WHERE o
 both("quantiles", "SELECT l_linestatus, percentile_disc(0.25) WITHIN GROUP (ORDER BY l_extendedprice) AS q1, median(l_extendedprice) AS med, percentile_disc(0.99) WITHIN GROUP (ORDER BY l_extendedprice) AS p99 FROM lineitem GROUP BY l_linestatus")
 both("variances", "SELECT o_orderstatus, round(var_pop(o_totalprice / 1000), 4) AS vp, round(stddev_samp(o_totalprice / 1000), 6) AS ss FROM orders GROUP BY o_orderstatus")
 both("string_functions", "SELECT p_partkey, upper(p_brand) AS b, length(p_name) AS n, substring(p_type, 1, 5) AS t, replace(p_name, ' ', '_') AS r, concat(p_brand, '/', p_type) AS c, lpad(CAST(p_size AS VARCHAR(10)), 4, '0') AS z, trim(concat(' ', p_name, ' ')) AS tr, CASE WHEN p_name LIKE '%e%' THEN 1 ELSE 0 END AS has_e FROM part")
-both("math_functions", "SELECT l_orderkey, l_linenumber, round(sqrt(l_extendedprice), 6) AS s, round(ln(1 + l_extendedprice), 6) AS l, round(exp(l_discount), 6) AS e, abs(l_quantity - 25) AS a, greatest(l_quantity, 10) AS g, least(l_tax, 0.05) AS m, CAST(l_orderkey % 7 AS INTEGER) AS r FROM lineitem WHERE l_orderkey < 2000")
+both("math_functions", "SELECT l_orderkey, l_linenumber, round(sqrt(l_extendedprice), 6) AS s, round(ln(1 + l_extendedprice), 6) AS l, round(exp(l_discount), 6) AS e, abs(l_quantity - 25) AS a, greatest(l_quantity, 10) AS g, least(l_tax, 0.05) AS m, CAST(l_orderkey % 7 AS INTEGER) AS r FROM lineitem")
 both("null_functions", "SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS seg, c_acctbal IS NOT DISTINCT FROM c_acctbal AS same FROM customer")
 both("recursive_chain", "WITH RECURSIVE c(n, s) AS (SELECT 1, 1 UNION ALL SELECT n + 1, s + n + 1 FROM c WHERE n < 30) SELECT n, s FROM c")
 both("pages_scan", "SELECT page_id, length(html) AS n FROM pages WHERE url LIKE 'http%'")
@@ -88,4 +88,4 @@ def sessions(spark, sf_dir):
     return e.groupBy("user_id", "sess").agg(F.min("t").alias("first_t"), F.count("*").alias("n")).drop("sess")
 
 
-both("date_functions", "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, CAST(day(o_orderdate) AS INTEGER) AS d, CAST(hour(o_orderdate) AS INTEGER) AS h FROM orders WHERE o_orderkey < 3000")
+both("date_functions", "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, CAST(day(o_orderdate) AS INTEGER) AS d, CAST(hour(o_orderdate) AS INTEGER) AS h FROM orders")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,14 +17,31 @@ RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS
 TIME_FORMAT = "yyyy/MM/dd HH:mm"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names. Only a session on a local master gets a temporary one; on a cluster, where
+    executors wouldn't see it, a missing setting raises."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="causeway-checkpoint-"))
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df from the shared checkpoint folder, written once; the cluster's own folder if it names one."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="causeway-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df from Parquet files in the shared folder, written once: whoever reads it takes only the columns and rows that it needs."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_header(spark: SparkSession, path: str) -> list[str]:
     first = spark.read.text(path).first()
     return [c.strip() for c in first[0].lstrip("﻿").rstrip("\r").split(",")] if first else []

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from causeway.functions import scalars as S
 from causeway.operators import features as X
 from causeway.operators import graph as G
+from causeway.operators import joins as J
 from causeway.operators import rules as R
+from causeway.operators import timelines as TL
+from causeway.operators.table import feature_table as whole_row
 
 P = X.Params(short=60, long=150, pass_through=45, round_trip=120, hop=50, scatter=70, hub_quantile=0.9, cap_gap=200)
 SCHEMA = "row_id long, minute long, src int, dst int, amount_usd double, amount_paid double, payment_format string, split string, day int, payment_currency string, receiving_currency string, from_bank string, to_bank string"
@@ -66,7 +69,7 @@ def paths_back(rows, e, k, hub):
 @pytest.mark.parametrize("seed", [7, 8])
 def test_features(spark, seed):
     rows = events(seed)
-    got = {r.row_id: r for r in X.feature_table(frame(spark, rows), P).collect()}
+    got = {r.row_id: r for r in whole_row(frame(spark, rows), P).collect()}
     s, long, p = S.window_tag(P.short), S.window_tag(P.long), S.window_tag(P.pass_through)
     first = {}
     for e in rows:
@@ -147,7 +150,7 @@ def test_nothing_later_is_seen(spark):
     island = [(5000 + i, e[1], e[2] + 50, e[3] + 50, *e[4:7], "test", *e[8:]) for i, e in enumerate(rows)]
     runs = []
     for rest in ([e for e in keep if e[0] != 200], [e for e in keep if e[0] != 200] + other + island):
-        f = X.feature_table(frame(spark, [*rest, target]), P).where("row_id = 200").first().asDict()
+        f = whole_row(frame(spark, [*rest, target]), P).where("row_id = 200").first().asDict()
         s = R.severities(frame(spark, [*rest, target]), P).where("row_id = 200").first().asDict()
         runs.append({**f, **s})
     assert runs[0] == runs[1]
@@ -172,3 +175,49 @@ def test_tuning_keeps_the_budget(spark):
     assert best[R.SCENARIOS[0]] == 3.0
     flagged = R.apply_thresholds(sev, best)
     assert flagged.where("rules_any").count() <= 120
+
+
+def test_a_hub_has_no_more_rows_than_minutes(spark):
+    """Half of 20,000 transfers are one account's: its states are one row a minute, and right."""
+    r = random.Random(4)
+    rows = [(i, r.randint(0, 40), 1 if i % 2 else r.randint(2, 300), r.randint(2, 300), 10.0, 10.0, "click", "train", 1, "a", "b", "0", "1") for i in range(20_000)]
+    t = X.prepared(frame(spark, rows), P)
+    states = TL.account_minutes(TL.pair_minutes(t, P), P).where("acct = 1").collect()
+    assert len(states) == 41
+    for x in states:
+        before = [e for e in rows if e[2] == 1 and x.minute - P.short <= e[1] < x.minute]
+        assert x.out_cnt_s == len(before) and x.out_uniq_s == len({e[3] for e in before}) and x.out_sum_s == 1000 * len(before)
+
+
+def test_running_sums_and_lags_by_range(spark):
+    r = random.Random(5)
+    rows = [(i, r.randint(-5, 9)) for i in r.sample(range(10_000), 500)]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(7)
+    upto, total, last = {}, 0, None
+    for k, v in sorted(rows):
+        total += v
+        upto[k], last = (total, last), v
+    assert {x.k: x.s for x in J.running(df, ["k"], {"s": "v"}).collect()} == {k: a for k, (a, _) in upto.items()}
+    assert {x.k: x.b for x in J.lagged(df, ["k"], "v", "b").collect()} == {k: b for k, (_, b) in upto.items()}
+    assert J.running(df.limit(0), ["k"], {"s": "v"}).count() == 0 == J.lagged(df.limit(0), ["k"], "v", "b").count()
+
+
+def test_last_before_asks_for_numbers(spark):
+    r = random.Random(6)
+    rows = [(r.randint(0, 3), r.randint(0, 30), i) for i in range(300)]
+    nodes = [(c, r.randint(0, 4), r.randint(0, 35)) for c in range(60)]
+    df, asked = spark.createDataFrame(rows, "at int, t long, row_id long"), spark.createDataFrame(nodes, "case_id long, node int, minute long")
+    for window in (None, 7):
+        want = {(c, x) for c, a, m in nodes for x in [w for *_, w in sorted((t, i) for p, t, i in rows if p == a and t < m and (window is None or t >= m - window))[-4:]]}
+        assert {(x.case_id, x.row_id) for x in J.last_before(df, asked, 4, window).collect()} == want
+    hops = G.temporal_sample(spark.createDataFrame([(0, 1, 2, 5), (1, 2, 3, 6), (2, 9, 2, 9)], "row_id long, src int, dst int, minute long"), spark.createDataFrame([(7, 3, 8)], "case_id long, node int, minute long"), (2, 2))
+    assert sorted((x.hop, x.neighbour, x.row_id) for x in hops.collect()) == [(1, 2, 1), (2, 1, 0)]
+
+
+def test_fitted_vocabularies_and_stats(spark):
+    rows = events(3)
+    t = frame(spark, rows)
+    p = X.fitted(t, P)
+    assert p.formats == tuple(sorted({e[6] for e in rows if e[7] == "train"}))
+    stats = R.severity_stats(t, P).first()
+    assert stats.rows == len(rows) and stats.hubs == len(hubs(rows)) and stats.closed_pairs == len({(e[2], e[3]) for e in rows if e[2] != e[3]})

@@ -11,10 +11,10 @@ from causeway.sources import transfers as T
 from causeway.streaming import replay as R
 
 LINES = [
-    "2022/09/01 00:20,010,8000EBD30,010,8000EBD30,3697.34,US Dollar,3697.34,US Dollar,Reinvestment,0",
-    "2022/09/01 00:01,012,8012E4567,12,8012E4567,0.01,Euro,0.01,Euro,Cheque,1",
-    "2022/09/01 00:01,012,8012E4567,12,8012E4567,0.01,Euro,0.01,Euro,Cheque,1",
-    "2022/09/02 10:00,,A,3,B,5,Euro,6,US Dollar,ACH,0",
+    "2023/03/04 07:20,077,Q51X0A,077,Q51X0A,412.75,US Dollar,412.75,US Dollar,Reinvestment,0",
+    "2023/03/04 07:01,034,7E31,34,7E31,0.25,Euro,0.25,Euro,Cheque,1",
+    "2023/03/04 07:01,034,7E31,34,7E31,0.25,Euro,0.25,Euro,Cheque,1",
+    "2023/03/05 10:00,,A,3,B,5,Euro,6,US Dollar,ACH,0",
 ]
 
 
@@ -24,14 +24,14 @@ def test_raw_log(spark, tmp_path):
     raw = store.read_raw(spark, str(path))
     rows = raw.orderBy("row_id").collect()
     assert [r.row_id for r in rows] == [0, 1, 2, 3]
-    assert rows[1].from_bank == "012" and rows[1].to_bank == "12" and rows[1].from_account == "8012E4567" and rows[3].from_bank == ""
+    assert rows[1].from_bank == "034" and rows[1].to_bank == "34" and rows[1].from_account == "7E31" and rows[3].from_bank == ""
     typed = store.parsed(raw).orderBy("row_id").collect()
-    assert typed[0].ts == datetime.datetime(2022, 9, 1, 0, 20) and typed[0].amount_paid == 3697.34
+    assert typed[0].ts == datetime.datetime(2023, 3, 4, 7, 20) and typed[0].amount_paid == 412.75
     path.write_text("a,b\n1,2\n")
     with pytest.raises(ValueError):
         store.read_raw(spark, str(path))
     bad = tmp_path / "bad.csv"
-    bad.write_text(",".join(store.RAW_HEADER) + "\n" + LINES[0].replace("3697.34,US", "x,US", 1) + "\n")
+    bad.write_text(",".join(store.RAW_HEADER) + "\n" + LINES[0].replace("412.75,US", "x,US", 1) + "\n")
     with pytest.raises(Exception):
         store.parsed(store.read_raw(spark, str(bad))).collect()
 
