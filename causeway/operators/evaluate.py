@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,21 +98,37 @@ def merged_ranges(ranges: DataFrame) -> DataFrame:
     return r.groupBy("grp", "_island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_island")
 
 
-def bootstrap(clusters: DataFrame, replicates: int, seed: int, chunk: int = 100) -> DataFrame:
-    """clusters: (stratum, cluster, alerts, tp, pos). Recall and precision of each replicate of a stratified cluster bootstrap:
-    of each stratum as many clusters as it has are drawn with replacement. Each cluster draws its own multiplicity
-    (Poisson) from a hash of itself, the replicate and the seed, so replicates need no shuffle of clusters, only
-    sums that are combined before it."""
-    r = clusters.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // chunk))))
-    r = r.withColumn("replicate", F.explode(F.sequence(F.col("_chunk") * chunk, F.least(F.col("_chunk") * chunk + (chunk - 1), F.lit(replicates - 1)))))
-    u = F.pmod(F.xxhash64("stratum", "cluster", "replicate", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    cumulative, weight, p = 0.0, F.lit(0), 0.36787944117144233
-    for k in range(8):
-        cumulative += p
-        weight = weight + F.when(u >= cumulative, 1).otherwise(0)
-        p /= k + 1
-    r = r.withColumn("_w", weight).groupBy("replicate").agg(*(F.sum(F.col(c) * F.col("_w")).alias(c) for c in ("alerts", "tp", "pos")))
-    return r.select("replicate", (F.col("tp") / F.nullif(F.col("alerts"), F.lit(0))).alias("precision"), (F.col("tp") / F.nullif(F.col("pos"), F.lit(0))).alias("recall"))
+#: Clusters that a bootstrap holds in each task: their sums are broadcast.
+MAX_CLUSTERS = 2_000_000
+
+
+def bootstrap(clusters: DataFrame, values: list[str], replicates: int, seed: int) -> DataFrame:
+    """clusters: (stratum, cluster, values...). Sums of the values, as (replicate, values...), in each replicate of a stratified cluster
+    bootstrap: of each stratum as many clusters as it has are drawn with replacement. All values of a cluster are drawn together, so
+    the columns of several models are paired.
+
+    What is drawn are clusters, not rows: the rows are summed in Spark first, and the sums, whose number is checked, are broadcast; the
+    replicates are dealt out. A replicate's draws depend on the seed and its number alone."""
+    found = clusters.groupBy("stratum", "cluster").agg(*(F.sum(v).alias(v) for v in values)).orderBy("stratum", "cluster").limit(MAX_CLUSTERS + 1).toPandas()
+    if len(found) > MAX_CLUSTERS:
+        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
+    spark = clusters.sparkSession
+    shared = spark.sparkContext.broadcast([g[values].to_numpy(float) for _, g in found.groupby("stratum", sort=True, dropna=False)])
+    schema = pa.schema([("replicate", pa.int64()), *((v, pa.float64()) for v in values)])
+
+    def run(batches):
+        for batch in batches:
+            ids, out = batch.column(0).to_numpy(), []
+            for r in ids.tolist():
+                random = np.random.Generator(np.random.PCG64([seed, r]))
+                total = np.zeros(len(values))
+                for part in shared.value:
+                    total += np.bincount(random.integers(0, len(part), len(part)), minlength=len(part)) @ part
+                out.append(total)
+            sums = np.array(out).reshape(-1, len(values))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(sums[:, k]) for k in range(len(values)))], schema=schema)
+
+    return spark.range(replicates).mapInArrow(run, ", ".join(["replicate long", *(f"{v} double" for v in values)]))
 
 
 def interval(values: DataFrame, column: str, level: float = 0.95) -> DataFrame:
@@ -125,3 +143,41 @@ def covered(rows: DataFrame, ranges: DataFrame, at: str) -> DataFrame:
     line = rows.select(F.col(at).alias("_x"), F.lit(0).alias("_step"), F.lit(1).alias("_kind"))
     line = line.unionByName(one.select(F.col("lo").alias("_x"), F.lit(1).alias("_step"), F.lit(0).alias("_kind"))).unionByName(one.select(F.col("hi").alias("_x"), F.lit(-1).alias("_step"), F.lit(2).alias("_kind")))
     return running(line, ["_x", "_kind"], {"_open": "_step"}).where("_kind = 1 and _open > 0").select(F.col("_x").alias(at))
+
+
+def mismatches(a: DataFrame, b: DataFrame, key: str, columns: list[str], tolerance: dict[str, float] | None = None) -> DataFrame:
+    """Rows in which two tables differ: (key, side, differs). side: left or right for a key that the other lacks, both for one whose
+    values differ; differs: the columns that do. Nulls equal nulls; a column with a tolerance may differ by that share of the greater value."""
+    x = a.select(key, F.struct(*columns).alias("_a"))
+    y = b.select(key, F.struct(*columns).alias("_b"))
+    both = x.join(y, key, "full")
+
+    def differs(c: str) -> Column:
+        u, v = F.col(f"_a.{c}"), F.col(f"_b.{c}")
+        if (tolerance or {}).get(c):
+            near = F.coalesce(F.abs(u - v) <= tolerance[c] * F.greatest(F.abs(u), F.abs(v)), F.lit(False))
+            return ~(u.eqNullSafe(v) | near)
+        return ~u.eqNullSafe(v)
+
+    side = F.when(F.col("_b").isNull(), "left").when(F.col("_a").isNull(), "right").otherwise("both")
+    names = F.array_compact(F.array(*(F.when(differs(c), F.lit(c)) for c in columns)))
+    return both.select(key, side.alias("side"), names.alias("differs")).where("side <> 'both' or size(differs) > 0")
+
+
+def parity(a: DataFrame, b: DataFrame, key: str, columns: list[str], tolerance: dict[str, float] | None = None) -> DataFrame:
+    """One row: rows of a, keys that only one table has, and for each column the number of rows that differ in it."""
+    m = mismatches(a, b, key, columns, tolerance)
+    counts = m.agg(F.count_if(F.col("side") == "left").alias("only_left"), F.count_if(F.col("side") == "right").alias("only_right"), *(F.count_if((F.col("side") == "both") & F.array_contains("differs", c)).alias(f"{c}_differs") for c in columns))
+    return a.agg(F.count("*").alias("n")).crossJoin(F.broadcast(counts))
+
+
+def model_flags(scored: DataFrame, thresholds: dict[str, float | None]) -> DataFrame:
+    """scored with alert_<tag> for each rate's tag: score at its threshold or over; never without a threshold or a score."""
+    return scored.withColumns({f"alert_{tag}": F.coalesce(F.col("score") >= F.lit(t), F.lit(False)) if t is not None else F.lit(False) for tag, t in thresholds.items()})
+
+
+def buckets(df: DataFrame, column: str, bounds: list[float]) -> DataFrame:
+    """(le, n) of a cumulative histogram: how many values are at most each bound, and, at infinity, all that are not null. One pass."""
+    edges = [*sorted(bounds), float("inf")]
+    counts = F.array(*(F.struct(F.lit(e).alias("le"), F.count_if(F.col(column) <= e).alias("n")) for e in edges))
+    return df.agg(counts.alias("b")).select(F.explode("b").alias("b")).select("b.*")

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from causeway.functions import scalars as S
+from causeway.operators import asof as A
 from causeway.operators import evaluate as E
+from causeway.operators import features as X
 from causeway.operators import rules as R
+from causeway.operators import validate as V
 from causeway.operators.joins import numbered
 from causeway.plans.feature_queries import SEVERITIES, THRESHOLDS
 from causeway.plans.registry import both, on_transfers
@@ -110,8 +113,11 @@ def bootstrap_ci(tx):
     s = scored(tx).withColumn("flag", (F.col("score") >= 0.7).cast("int"))
     stratum = F.when(F.col("attempt_id").isNotNull(), "attempt").when(F.col("y") == 1, "other positive").otherwise("negative")
     cluster = F.coalesce(F.col("attempt_id").cast("long"), F.col("src").cast("long"))
-    c = s.groupBy(stratum.alias("stratum"), cluster.alias("cluster")).agg(F.sum("flag").alias("alerts"), F.sum(F.col("flag") * F.col("y")).alias("tp"), F.sum("y").alias("pos"))
-    return E.interval(E.bootstrap(c, 2000, 0), "recall")
+    other = ((F.col("score") >= 0.7) | (F.col("payment_format") == "signup")).cast("int")
+    c = s.select(stratum.alias("stratum"), cluster.alias("cluster"), F.col("y").alias("pos"), "flag", (F.col("flag") * F.col("y")).alias("tp"), (other * F.col("y")).alias("tp_union"))
+    r = E.bootstrap(c, ["pos", "tp", "tp_union"], 2000, 0).where("pos > 0")
+    r = r.select((F.col("tp") / F.col("pos")).alias("recall"), ((F.col("tp_union") - F.col("tp")) / F.col("pos")).alias("gain"))
+    return E.interval(r, "recall").crossJoin(F.broadcast(E.interval(r, "gain").select(F.col("low").alias("gain_low"), F.col("high").alias("gain_high"))))
 
 
 @on_transfers("WITH d AS (SELECT src, CAST(minute - lag(minute) OVER (PARTITION BY src ORDER BY minute, row_id) AS BIGINT) AS gap FROM tx) SELECT src % 10 AS grp, count(gap) AS n, quantile_disc(gap, 0.5) AS p50, CASE WHEN count(gap) * 0.05 >= 10 THEN quantile_disc(gap, 0.95) END AS p95, CASE WHEN count(gap) * 0.001 >= 10 THEN quantile_disc(gap, 0.999) END AS p999 FROM d GROUP BY 1")
@@ -158,8 +164,34 @@ def typology_list(tx):
 
 
 both("alerts_page", "SELECT row_id, minute, src, dst FROM tx JOIN sc USING (row_id) WHERE score >= 0.8 ORDER BY row_id DESC LIMIT 20")
-both("parity_mismatch", "SELECT count_if(a.minute IS DISTINCT FROM b.minute) AS minute_diff, count_if(a.usd_c IS DISTINCT FROM b.usd_c) AS amount_diff, count(*) AS n FROM tx a JOIN tx b ON a.row_id = b.row_id")
 both("multi_seed", "WITH r AS (SELECT row_id % 5 AS seed, avg(CAST(CASE WHEN score >= 0.7 THEN 1 ELSE 0 END AS DOUBLE)) AS v FROM sc GROUP BY row_id % 5) SELECT round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS std, count(v) AS n_defined FROM r")
 both("histogram", "SELECT CAST(floor(score * 10) AS BIGINT) AS bucket, count(*) AS n, CAST(sum(count(*)) OVER (ORDER BY CAST(floor(score * 10) AS BIGINT)) AS BIGINT) AS upto FROM sc GROUP BY CAST(floor(score * 10) AS BIGINT)")
+
+
+@on_transfers("SELECT count(*) AS n, CAST(0 AS BIGINT) AS only_left, CAST(0 AS BIGINT) AS only_right, CAST(0 AS BIGINT) AS cnt_differs, CAST(0 AS BIGINT) AS sum_differs FROM tx")
+def parity_mismatch(tx):
+    """The states by minute against sliding frames, for every transfer."""
+    states = X.of_ends(X.prepared(tx), u=["out_cnt_s"], v=["in_sum_l"]).select("row_id", F.col("u_out_cnt_s").alias("cnt"), F.col("v_in_sum_l").alias("sum"))
+    frames = tx.select("row_id", F.count("*").over(A.sliding(["src"], X.P.short)).alias("cnt"), F.coalesce(F.sum("usd_c").over(A.sliding(["dst"], X.P.long)), F.lit(0)).alias("sum"))
+    return E.parity(states, frames, "row_id", ["cnt", "sum"])
+
+
+@on_transfers("SELECT le, (SELECT count(*) FROM sc WHERE score <= le) AS n FROM (VALUES (0.1), (0.25), (0.5), (0.75), (0.9), (CAST('inf' AS DOUBLE))) v(le)")
+def histogram_buckets(tx):
+    return E.buckets(tx.select(T.score(F.col("row_id")).alias("score")), "score", [0.1, 0.25, 0.5, 0.75, 0.9])
+
+
+@on_transfers("SELECT row_id, score >= 0.7 AS alert_0p02, score >= 0.95 AS alert_0p005, false AS alert_0p0001 FROM sc")
+def model_flags(tx):
+    scored = tx.select("row_id", T.score(F.col("row_id")).alias("score"))
+    return E.model_flags(scored, {S.rate_tag(0.02): 0.7, S.rate_tag(0.005): 0.95, "0p0001": None}).drop("score")
+
+
+@on_transfers("SELECT row_id, round(amount_paid / CASE payment_currency WHEN 'Euro' THEN 0.9 WHEN 'Yen' THEN 150.0 ELSE 1.0 END, 6) AS amount_usd FROM tx")
+def fx_applied(tx):
+    rates = tx.sparkSession.createDataFrame([("US Dollar", 1.0), ("Euro", 0.9), ("Yen", 150.0)], "currency string, rate double")
+    return V.with_usd(tx, rates).select("row_id", F.round("amount_usd", 6).alias("amount_usd"))
+
+
 both("example_per_typology", "SELECT typology, row_id FROM (SELECT typology, row_id, row_number() OVER (PARTITION BY typology ORDER BY CASE WHEN score >= 0.7 THEN 0 ELSE 1 END, row_id) AS nth FROM lab JOIN sc USING (row_id) WHERE typology IS NOT NULL) t WHERE nth = 1")
 both("false_positives_top", "SELECT row_id, round(score, 9) AS score FROM sc JOIN lab USING (row_id) WHERE is_laundering = 0 ORDER BY sc.score DESC, row_id LIMIT 25")

@@ -69,10 +69,38 @@ BEGIN = r"^BEGIN LAUNDERING ATTEMPT - ([A-Z-]+)(?::\s*(.*))?$"
 END = r"^END LAUNDERING ATTEMPT - ([A-Z-]+)"
 
 
+#: The typologies that a pattern file may name.
+TYPOLOGIES = "FAN-OUT FAN-IN CYCLE GATHER-SCATTER SCATTER-GATHER STACK BIPARTITE RANDOM".split()
+
+
+def pattern_errors(lines: DataFrame) -> DataFrame:
+    """(line_no, error) of what is wrong with a pattern file: an unknown typology, a block begun within another or never ended, an end without
+    its beginning or of another typology, a transfer line outside a block or with another number of fields."""
+    line = F.trim(F.regexp_replace(F.regexp_replace("line", "\r$", ""), "^\ufeff", ""))
+    t = lines.select("line_no", line.alias("line")).where("line <> ''")
+    begun, ended = F.regexp_extract("line", BEGIN, 1), F.regexp_extract("line", END, 1)
+    t = t.withColumns({"kind": F.when(F.col("line").startswith("BEGIN"), "begin").when(F.col("line").startswith("END"), "end").otherwise("row"), "name": F.when(F.col("line").startswith("BEGIN"), begun).otherwise(ended)})
+    order = Window.orderBy("line_no")  # one small file
+    marks = t.where("kind <> 'row'").withColumns({"kind0": F.lag("kind").over(order), "name0": F.lag("name").over(order), "next": F.lead("kind").over(order)})
+    error = (
+        F.when(~F.col("name").isin(*TYPOLOGIES), "unknown typology")
+        .when((F.col("kind") == "begin") & (F.col("kind0") == "begin"), "begins within a block")
+        .when((F.col("kind") == "end") & (F.coalesce("kind0", F.lit("")) != "begin"), "ends no block")
+        .when((F.col("kind") == "end") & (F.col("name") != F.col("name0")), "ends another typology")
+        .when((F.col("kind") == "begin") & F.col("next").isNull(), "never ends")
+    )
+    inside = F.last(F.when(F.col("kind") != "row", F.col("kind")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = t.withColumn("inside", inside).where("kind = 'row'")
+    wrong = F.when(F.coalesce("inside", F.lit("end")) == "end", "outside a block").when(F.size(F.split("line", ",", -1)) != len(RAW_COLUMNS), "wrong number of fields")
+    return marks.select("line_no", error.alias("error")).unionByName(rows.select("line_no", wrong.alias("error"))).where("error is not null")
+
+
 def pattern_rows(lines: DataFrame) -> DataFrame:
     """lines: (line_no, line) of a pattern file. (attempt_id, typology, detail, line_no, and the raw columns) of each
     transfer line: its block is the number of BEGIN lines so far. Byte order marks and CRs are dropped.
-    A transfer line outside a block raises."""
+    A file with an error (see pattern_errors) raises, with the first one's line."""
+    if bad := pattern_errors(lines).orderBy("line_no").limit(1).collect():
+        raise ValueError(f"line {bad[0].line_no}: {bad[0].error}")
     line = F.regexp_replace(F.regexp_replace("line", "\r$", ""), "^﻿", "")
     t = lines.select("line_no", F.trim(line).alias("line")).withColumns({"begin": F.col("line").rlike(BEGIN), "end": F.col("line").rlike(END)})
     running = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)  # one small file
@@ -110,6 +138,17 @@ def write_table(df: DataFrame, path: str, by: str | None = None) -> None:
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
+def write_json(df: DataFrame, path: str, by: str | None = None) -> None:
+    """One JSON object a line, by partition if named; nulls are left out. Files become visible all at once."""
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).json(path)
+
+
+def read_json(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A line that is no object of the schema raises."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
 def digest(df: DataFrame) -> DataFrame:
     """One row that identifies a table whatever its order: row count, and two folds of the rows' hashes."""
     h = F.xxhash64(*df.columns)

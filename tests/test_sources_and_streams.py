@@ -89,9 +89,10 @@ def test_metrics_by_hand(spark):
 
 def test_bootstrap_is_seeded_and_centred(spark):
     c = spark.createDataFrame([("s", i, 2, i % 2, 1) for i in range(300)], "stratum string, cluster long, alerts int, tp int, pos int")
-    a = E.interval(E.bootstrap(c, 300, 0), "recall").first()
-    assert a == E.interval(E.bootstrap(c.repartition(5), 300, 0), "recall").first()
-    assert 0.4 < a.low < 0.5 < a.high < 0.6 and E.bootstrap(c, 300, 0).count() == 300
+    boot = lambda d: E.bootstrap(d, ["tp", "pos"], 300, 0).withColumn("recall", F.col("tp") / F.col("pos"))
+    a = E.interval(boot(c), "recall").first()
+    assert a == E.interval(boot(c.repartition(5)), "recall").first()
+    assert 0.4 < a.low < 0.5 < a.high < 0.6 and boot(c).count() == 300
 
 
 def test_fx(spark):
@@ -139,3 +140,38 @@ def test_late_transfer_stops_the_stream(spark, tmp_path):
     with pytest.raises(Exception, match="OrderError|minute 4"):
         run()
     assert spark.read.parquet(str(tmp_path / "o")).count() == 2
+
+
+def test_bootstrap_draws_as_many_clusters_and_pairs_models(spark):
+    rows = [("a", k, 1, 2 * (k % 2), k % 2) for k in range(40)] + [("b", k, 1, 0, 0) for k in range(7)] + [("a", 0, 0, 5, 5)]
+    df = spark.createDataFrame(rows, "stratum string, cluster int, one int, x int, y int")
+    got = E.bootstrap(df, ["one", "x", "y"], 200, 3).collect()
+    assert len(got) == 200 and {r.one for r in got} == {47.0} and len({r.x for r in got}) > 20
+    assert sorted(map(tuple, got)) == sorted(map(tuple, E.bootstrap(df.repartition(3), ["one", "x", "y"], 200, 3).collect()))
+    assert abs(sum(r.x for r in got) / 200 - 45) < 3  # 20 clusters of 2 and one that has 5 more
+
+
+def test_mismatches_are_found(spark):
+    a = spark.createDataFrame([(1, 1.0, "x"), (2, 2.0, None), (3, 3.0, "z")], "k int, v double, w string")
+    b = spark.createDataFrame([(1, 1.0 + 1e-9, "x"), (2, 2.5, None), (4, 3.0, "z")], "k int, v double, w string")
+    assert sorted((r.k, r.side, r.differs) for r in E.mismatches(a, b, "k", ["v", "w"], {"v": 1e-6}).where("side = 'both'").collect()) == [(2, "both", ["v"])]
+    p = E.parity(a, b, "k", ["v", "w"]).first()
+    assert (p.n, p.only_left, p.only_right, p.v_differs, p.w_differs) == (3, 1, 1, 2, 0)
+
+
+def test_pattern_errors(spark):
+    row = ",".join("abcdefghijk")
+    good = ["BEGIN LAUNDERING ATTEMPT - CYCLE: max 3", row, "END LAUNDERING ATTEMPT - CYCLE", "", "BEGIN LAUNDERING ATTEMPT - STACK", row, "END LAUNDERING ATTEMPT - STACK"]
+    frame = lambda lines: spark.createDataFrame(list(enumerate(lines)), "line_no long, line string")
+    assert store.pattern_rows(frame(good)).count() == 2
+    for k, line in ((0, "BEGIN LAUNDERING ATTEMPT - SPIRAL"), (2, "BEGIN LAUNDERING ATTEMPT - CYCLE"), (2, "END LAUNDERING ATTEMPT - STACK"), (1, row + ",l"), (3, row), (6, "")):
+        with pytest.raises(ValueError):
+            store.pattern_rows(frame([*good[:k], line, *good[k + 1 :]]))
+
+
+def test_json_lines(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
+    store.write_json(df, str(tmp_path / "j"))
+    assert sorted(map(tuple, store.read_json(spark, str(tmp_path / "j"), df.schema).collect())) == [(1, "a"), (2, None)]
+    with pytest.raises(Exception, match="no rate"):
+        V.with_usd(spark.createDataFrame([(1.0, "Euro")], "amount_paid double, payment_currency string"), spark.createDataFrame([], "currency string, rate double")).collect()
