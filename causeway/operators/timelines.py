@@ -3,7 +3,7 @@
 What an account has sent and received before a minute depends on the account and the minute alone. So
 transfers are summed by (account, minute) first, combined before the shuffle, and a hub has no more rows than
 minutes, however many transfers it has (nor a pair). Each account's rows are then read in order by one vectorized kernel: sums over
-[m - W, m - 1] are differences of prefix sums, distinct counts are prefix sums of steps +1/-1, maxima come from a
+[m - W, m - 1] are differences of prefix sums, distinct counts come from three of them, maxima come from a
 table of powers of two. Native window frames give the same numbers, but
 read each window's rows again for each row (maxima) and run some fifty aggregates over several frames for every
 row. All sums are integers, so differences are exact.
