@@ -7,11 +7,14 @@ goes to its home and, as a copy, to every anchor within the covering radius plus
 that differ in at most one bit of the half, the copy of one meets the other at its home. Each anchor
 compares its homes with all that came, in blocks, and reports only links that join two so far
 unjoined fingerprints, which keeps every component and no more rows than fingerprints.
+
+near_copies, for the pipeline, verifies such links by the texts' sets of shingles. Texts at a similarity of
+0.8 differ in about 10 bits, beyond any covering of bounded size, so an exact search adds what the links lack.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,8 @@ BLOCK = 1 << 21
 #: Rows that a task holds at most, about, and the mean number of anchors that a fingerprint goes to.
 ROWS_A_TASK, COPIES = 4 << 20, 31
 SEED = 42
+#: Hashes whose bits are counted at once.
+SLICE = 1 << 15
 
 _POSITION = np.arange(1, 32, dtype=np.uint64)
 #: For a syndrome s, the masks that lead from a value to all code words at distance 1 or 2.
@@ -37,6 +42,15 @@ for _i in range(31):
     _BYTE_SYNDROME[_i // 8] ^= np.where((np.arange(256) >> (_i % 8)) & 1, np.uint64(_i + 1), np.uint64(0))
 
 
+def majority(slices: Iterable[np.ndarray]) -> int:
+    """The SimHash of hashes that come in slices: a bit is 1 if over half of them have it; 0 without any."""
+    counts, n = np.zeros(64, np.int64), 0
+    for h in slices:
+        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(h)
+    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str | None, words: int = 3) -> int:
     """A bit is 1 if it is set in over half of the XXH64 values (seed 42) of the text's shingles of
     `words` words, repeats included; A-Z count as a-z. A shorter text is one shingle; without words, 0."""
@@ -49,11 +63,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     starts = np.r_[0, ends[:-1] + 1][:n].tolist()
     ends = ends[min(words, len(parts)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
-    for a in range(0, n, 1 << 15):
-        h = np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts[a : a + (1 << 15)], ends[a : a + (1 << 15)])), np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+    return majority(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts[a : a + SLICE], ends[a : a + SLICE])), np.uint64) for a in range(0, n, SLICE))
 
 
 def _fingerprints(words: int):
@@ -273,11 +283,13 @@ def _prefixes(words: int, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, sizes, firsts = np.zeros(len(batch), np.uint64), np.zeros(len(batch), np.int64), []
+            prints = np.zeros(len(batch), np.uint64)
             for k, t in enumerate(batch.column(1)):
                 own = shingle_set(t.as_py(), words)
                 nodes[k], sizes[k] = xxhash.xxh3_64_intdigest(own.tobytes()), len(own)
+                prints[k] = majority(own[a : a + SLICE] for a in range(0, len(own), SLICE))
                 firsts.append(prefix(own, common).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), C.longs(nodes), C.longs(sizes), pa.array(firsts, pa.binary())], names=["_u", "node", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), C.longs(nodes), C.longs(sizes), C.longs(prints), pa.array(firsts, pa.binary())], names=["_u", "node", "size", "fp", "prefix"])
 
     return run
 
@@ -365,22 +377,33 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array([similar(x, y) for x, y in zip(*sets)], pa.bool_()))
 
 
+def linked(nodes: DataFrame) -> DataFrame:
+    """nodes (node, fp), node unique: pairs a < b of nodes that are linked by fingerprints, each node with the least one of its
+    fingerprint and these with each other by the covering's links."""
+    heads = C.cut(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    of = lambda end: heads.select(F.col("fp").alias(end), F.col("head").alias(f"h{end}"))
+    across = near_links(heads).join(of("a"), "a").join(of("b"), "b").select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
+    return nodes.join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).union(across)
+
+
 def near_copies(texts: DataFrame, words: int = 5) -> DataFrame:
     """texts: (_u, text), _u unique. Returns (_u, first): of each text with near copies, the smallest _u among them.
 
     Texts are near copies if the Jaccard similarity of their sets of five-word shingles is 0.8 or more, and by chains of
-    such pairs. The search is exact: two such sets share one of the first shingles of each (see prefix), whatever the order.
-    Pairs that meet there often enough are verified by the whole sets, first those of each shingle's least node, then all whose nodes
-    these didn't join, so a large group of near copies costs its size and not its square. Texts with equal sets are one
-    node; texts without a word are copies of each other.
+    such pairs. Links between SimHash fingerprints of the sets, by anchor points, give the first candidates. They alone would lose
+    most pairs near 0.8, so the search is made exact: two such sets share one of the first shingles of each (see prefix), whatever
+    the order. Every candidate is verified by the whole sets, first the links and those pairs of each shingle's least node that meet
+    often enough, then all such pairs whose nodes these didn't join, so a large group of near copies costs its size and
+    not its square. Texts with equal sets are one node; texts without a word are copies of each other.
     """
     total = texts.count()
     # a sample decides only on the order, which no result depends on
     some = texts.where(F.pmod(F.xxhash64("_u"), F.lit(max(1, total // SAMPLE))) == 0).select("text")
     often = some.mapInArrow(_shingles(words), "shingle long").groupBy("shingle").count().where(F.col("count") >= COMMON).select("shingle")
     common = np.sort(often.toArrow().column(0).to_numpy().view(np.uint64))
-    prints = C.cut(texts.mapInArrow(_prefixes(words, common), "_u long, node long, size long, prefix binary"))
+    prints = C.cut(texts.mapInArrow(_prefixes(words, common), "_u long, node long, size long, fp long, prefix binary"))
     nodes = prints.dropDuplicates(["node"]).select("node", "size", "prefix")
+    close = linked(prints.select("node", "fp").distinct())
     # as many partitions as their rows need, a fifth of all shingles; they stay as written, with all rows of a shingle in one
     n = C.partitions(texts.sparkSession, (prints.agg(F.sum("size")).first()[0] or 0) // 5, ROWS_A_TASK)
     met = C.cut(nodes.mapInArrow(_by_shingle, MET).repartition(n, "shingle").mapInArrow(_shared, MET))
@@ -392,7 +415,7 @@ def near_copies(texts: DataFrame, words: int = 5) -> DataFrame:
         of = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"s{end}"))
         return C.cut(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_verified, "a long, b long"))
 
-    stars = C.cut(_likely(met, True))
+    stars = C.cut(_likely(met, True).union(close).distinct())
     links = verified(stars)
     joined = C.cut(components(links))
     apart = met.join(joined, "node", "left").select("shingle", "node", "size", F.coalesce("component", "node").alias("c"))
