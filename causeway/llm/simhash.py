@@ -295,8 +295,11 @@ def _prefixes(words: int, common: np.ndarray):
 
 
 def _by_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (node, size, prefix): (shingle, node, size) for each shingle of the prefix."""
+    """Of (node, size, prefix): (shingle, node, size) for each shingle of the prefix, once for each node in a task."""
+    seen: set[int] = set()
     for batch in batches:
+        nodes = batch.column(0).to_pylist()
+        batch = batch.filter(pa.array([x not in seen and not seen.add(x) for x in nodes], pa.bool_()))
         for a in range(0, len(batch), 1024):
             part = batch.slice(a, 1024)
             data, bounds = C.text_bytes(part.column(2))
@@ -309,11 +312,15 @@ MET, PAIRS = "shingle long, node long, size long", "a long, b long, need long, n
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows whose shingle has other rows, too."""
+    """The rows whose shingle has other nodes, too, each once."""
     t = C.gathered(batches, pa.schema([(c.split()[0], pa.int64()) for c in MET.split(", ")]))
     if len(t):
-        _, at, n = np.unique(C.array_of(t, "shingle"), return_inverse=True, return_counts=True)
-        yield from t.filter(pa.array(n[at] > 1)).combine_chunks().to_batches()
+        shingle, node = C.array_of(t, "shingle"), C.array_of(t, "node")
+        order = np.lexsort([node, shingle])
+        new = np.r_[True, np.diff(shingle[order]) != 0]
+        order, new = (x[new | np.r_[True, np.diff(node[order]) != 0]] for x in (order, new))
+        alone = new & np.r_[new[1:], True]
+        yield from t.take(pa.array(order[~alone])).combine_chunks().to_batches()
 
 
 def _suffix(size: np.ndarray) -> np.ndarray:
@@ -377,6 +384,10 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array([similar(x, y) for x, y in zip(*sets)], pa.bool_()))
 
 
+#: Texts to verify, of two numbers each, that are broadcast at most: about 100 MB.
+NAMES = 2_000_000
+
+
 def linked(nodes: DataFrame) -> DataFrame:
     """nodes (node, fp), node unique: pairs a < b of nodes that are linked by fingerprints, each node with the least one of its
     fingerprint and these with each other by the covering's links."""
@@ -402,15 +413,16 @@ def near_copies(texts: DataFrame, words: int = 5) -> DataFrame:
     often = some.mapInArrow(_shingles(words), "shingle long").groupBy("shingle").count().where(F.col("count") >= COMMON).select("shingle")
     common = np.sort(often.toArrow().column(0).to_numpy().view(np.uint64))
     prints = C.cut(texts.mapInArrow(_prefixes(words, common), "_u long, node long, size long, fp long, prefix binary"))
-    nodes = prints.dropDuplicates(["node"]).select("node", "size", "prefix")
     close = linked(prints.select("node", "fp").distinct())
     # as many partitions as their rows need, a fifth of all shingles; they stay as written, with all rows of a shingle in one
     n = C.partitions(texts.sparkSession, (prints.agg(F.sum("size")).first()[0] or 0) // 5, ROWS_A_TASK)
-    met = C.cut(nodes.mapInArrow(_by_shingle, MET).repartition(n, "shingle").mapInArrow(_shared, MET))
+    met = C.cut(prints.select("node", "size", "prefix").mapInArrow(_by_shingle, MET).repartition(n, "shingle").mapInArrow(_shared, MET))
     firsts = C.cut(prints.groupBy("node").agg(F.min("_u").alias("_first")))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(firsts, "node")
+        used = C.cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(firsts, "node"))
+        # two numbers a row: while they are few, no text moves
+        used = F.broadcast(used) if used.count() <= NAMES else used
         sets = C.cut(texts.join(used, F.col("_u") == F.col("_first")).select("node", "text").mapInArrow(_sets(words), "node long, shingles binary"))
         of = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"s{end}"))
         return C.cut(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_verified, "a long, b long"))
