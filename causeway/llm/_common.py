@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,21 @@ def gathered(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> pa.Table:
     return (pa.Table.from_batches(batches) if batches else schema.empty_table()).combine_chunks()
 
 
+def lean(run: Callable) -> Callable:
+    """run, after which the worker gives the memory that it needed back to the system: workers outlive their tasks, and
+    those of several stages share an executor."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # only glibc has it
+            pass
+
+    return wrapped
+
+
 def array_of(table: pa.Table, name: str) -> np.ndarray:
     column = table.column(name)
     if not len(column):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causeway.llm import _windows as W
-from causeway.llm._common import gathered
+from causeway.llm._common import gathered, lean
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, bound: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -34,7 +34,7 @@ def fitted(sample: DataFrame, fit: Callable[[list[bytes], np.ndarray], bytes]) -
         texts = [x.as_py().encode() for chunk in t.column("text").chunks for x in chunk]
         yield pa.RecordBatch.from_arrays([pa.array([fit(texts, t.column("y").to_numpy().astype(np.int64))], pa.binary())], names=["model"])
 
-    model = sample.repartition(1).mapInArrow(run, "model binary").first()
+    model = sample.repartition(1).mapInArrow(lean(run), "model binary").first()
     return bytes(model[0]) if model is not None else fit([], np.zeros(0, np.int64))
 
 

@@ -73,25 +73,27 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: np.ndarray, y: np.nd
     """Weights and bias of the hinge-loss model over rows scaled to unit length; each class has the same cost in all."""
     sign = np.where(y == 1, 1.0, -1.0)
     limit = np.where(y == 1, len(y) / max(2 * (y == 1).sum(), 1), len(y) / max(2 * (y == 0).sum(), 1)) * cost
-    scaled = [(v := values[r]) / max(np.sqrt(v @ v), 1e-12) for r in rows]
-    diagonal = np.array([x @ x + 1.0 for x in scaled])
-    alpha, w, bias = np.zeros(len(y)), np.zeros(len(values)), 0.0
+    # a row's entries are values[row] / length; product is w * values, so that no row is held scaled
+    square = values * values
+    length = np.array([max(np.sqrt(square[r].sum()), 1e-12) for r in rows])
+    diagonal = np.array([square[r].sum() / n**2 + 1.0 for r, n in zip(rows, length)])
+    alpha, product, bias = np.zeros(len(y)), np.zeros(len(values)), 0.0
     random = np.random.Generator(np.random.PCG64(seed))
     for _ in range(epochs):
         most = 0.0
         for i in random.permutation(len(y)):
-            r, x = rows[i], scaled[i]
-            gradient = sign[i] * (w[r] @ x + bias) - 1
+            r = rows[i]
+            gradient = sign[i] * (product[r].sum() / length[i] + bias) - 1
             now = min(max(alpha[i] - gradient / diagonal[i], 0.0), limit[i])
             change = now - alpha[i]
             if change:
                 most = max(most, abs(change))
                 alpha[i] = now
-                w[r] += change * sign[i] * x
+                product[r] += change * sign[i] / length[i] * square[r]
                 bias += change * sign[i]
         if most < 1e-3:
             break
-    return w, bias
+    return np.divide(product, values, out=np.zeros(len(values)), where=values != 0), bias
 
 
 def _margin(row: np.ndarray, weight: np.ndarray, square: np.ndarray, bias: float) -> float:

@@ -214,7 +214,7 @@ def near_links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         raise ValueError("the covering holds for up to 3 bits")
     n = C.partitions(prints.sparkSession, prints.count() * COPIES, ROWS_A_TASK)
     copies = prints.select("fp").mapInArrow(_replicate, "anchor long, fp long")
-    return copies.repartition(n, F.shiftright("anchor", 1)).mapInArrow(_compare(threshold), "a long, b long").distinct()
+    return copies.repartition(n, F.shiftright("anchor", 1)).mapInArrow(C.lean(_compare(threshold)), "a long, b long").distinct()
 
 
 def simhash_components(docs: DataFrame, words: int = 3, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -370,7 +370,7 @@ def _candidates(star: bool, most: int = BLOCK):
 
 
 def _likely(met: DataFrame, star: bool) -> DataFrame:
-    return met.mapInArrow(_candidates(star), PAIRS).groupBy("a", "b", "need").agg(F.sum("n").alias("n")).where("n >= need").select("a", "b")
+    return met.mapInArrow(C.lean(_candidates(star)), PAIRS).groupBy("a", "b", "need").agg(F.sum("n").alias("n")).where("n >= need").select("a", "b")
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -416,7 +416,7 @@ def near_copies(texts: DataFrame, words: int = 5) -> DataFrame:
     close = linked(prints.select("node", "fp").distinct())
     # as many partitions as their rows need, a fifth of all shingles; they stay as written, with all rows of a shingle in one
     n = C.partitions(texts.sparkSession, (prints.agg(F.sum("size")).first()[0] or 0) // 5, ROWS_A_TASK)
-    met = C.cut(prints.select("node", "size", "prefix").mapInArrow(_by_shingle, MET).repartition(n, "shingle").mapInArrow(_shared, MET))
+    met = C.cut(prints.select("node", "size", "prefix").mapInArrow(_by_shingle, MET).repartition(n, "shingle").mapInArrow(C.lean(_shared), MET))
     firsts = C.cut(prints.groupBy("node").agg(F.min("_u").alias("_first")))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -425,7 +425,7 @@ def near_copies(texts: DataFrame, words: int = 5) -> DataFrame:
         used = F.broadcast(used) if used.count() <= NAMES else used
         sets = C.cut(texts.join(used, F.col("_u") == F.col("_first")).select("node", "text").mapInArrow(_sets(words), "node long, shingles binary"))
         of = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"s{end}"))
-        return C.cut(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_verified, "a long, b long"))
+        return C.cut(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(C.lean(_verified), "a long, b long"))
 
     stars = C.cut(_likely(met, True).union(close).distinct())
     links = verified(stars)
