@@ -237,8 +237,8 @@ def simhash_components(docs: DataFrame, words: int = 3, threshold: int = THRESHO
 
 #: Near copies share at least LIKE[0] / LIKE[1] of the union of their sets of shingles.
 LIKE = 4, 5
-#: Texts that tell which shingles are common, and the number of them that makes a shingle common.
-SAMPLE, COMMON = 10_000, 10
+#: Texts that tell how common shingles are, and the number of them from which a shingle is common.
+SAMPLE, COMMON = 10_000, 2
 
 
 def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
@@ -268,18 +268,20 @@ def _shingles(words: int):
     return run
 
 
-def prefix(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first shingles in one order for all sets (common ones last), as many as two sets of a similarity of LIKE or
-    more need to have one of them in common."""
+def prefix(shingles: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first shingles in one order for all sets (common ones last, by how often they are), as many as two sets of a
+    similarity of LIKE or more need to have one of them in common."""
     n = len(shingles)
     if not n:
         return shingles
     k = n - -(-n * LIKE[0] // LIKE[1]) + 1
-    last = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles if len(common) else np.zeros(n, bool)
-    return np.concatenate([shingles[~last], shingles[last]])[:k] if last.any() else shingles[:k]
+    if not len(common):
+        return shingles[:k]
+    at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+    return shingles[np.argsort(np.where(common[at] == shingles, often[at], 0), kind="stable")[:k]]
 
 
-def _prefixes(words: int, common: np.ndarray):
+def _prefixes(words: int, common: np.ndarray, often: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, sizes, firsts = np.zeros(len(batch), np.uint64), np.zeros(len(batch), np.int64), []
@@ -288,7 +290,7 @@ def _prefixes(words: int, common: np.ndarray):
                 own = shingle_set(t.as_py(), words)
                 nodes[k], sizes[k] = xxhash.xxh3_64_intdigest(own.tobytes()), len(own)
                 prints[k] = majority(own[a : a + SLICE] for a in range(0, len(own), SLICE))
-                firsts.append(prefix(own, common).tobytes())
+                firsts.append(prefix(own, common, often).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), C.longs(nodes), C.longs(sizes), C.longs(prints), pa.array(firsts, pa.binary())], names=["_u", "node", "size", "fp", "prefix"])
 
     return run
@@ -410,9 +412,10 @@ def near_copies(texts: DataFrame, words: int = 5) -> DataFrame:
     total = texts.count()
     # a sample decides only on the order, which no result depends on
     some = texts.where(F.pmod(F.xxhash64("_u"), F.lit(max(1, total // SAMPLE))) == 0).select("text")
-    often = some.mapInArrow(_shingles(words), "shingle long").groupBy("shingle").count().where(F.col("count") >= COMMON).select("shingle")
-    common = np.sort(often.toArrow().column(0).to_numpy().view(np.uint64))
-    prints = C.cut(texts.mapInArrow(_prefixes(words, common), "_u long, node long, size long, fp long, prefix binary"))
+    counts = some.mapInArrow(_shingles(words), "shingle long").groupBy("shingle").count().where(F.col("count") >= COMMON).toArrow()
+    common, often = counts.column(0).to_numpy().view(np.uint64), counts.column(1).to_numpy()
+    common, often = common[order := np.argsort(common)], often[order].astype(np.int32)
+    prints = C.cut(texts.mapInArrow(_prefixes(words, common, often), "_u long, node long, size long, fp long, prefix binary"))
     close = linked(prints.select("node", "fp").distinct())
     # as many partitions as their rows need, a fifth of all shingles; they stay as written, with all rows of a shingle in one
     n = C.partitions(texts.sparkSession, (prints.agg(F.sum("size")).first()[0] or 0) // 5, ROWS_A_TASK)
