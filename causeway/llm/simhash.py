@@ -268,13 +268,20 @@ def _shingles(words: int):
     return run
 
 
+def shared_at_least(size):
+    """How many shingles of its prefix a set shares with that of any near copy at least. Of a near copy no smaller than
+    itself, a set of n shingles has 0.8 n or more, and 0.8 n less this number are beyond its prefix; and as 0.8 n less this
+    number, rounded as here, never falls with n, it holds for the larger of the two as well."""
+    return -(-size // 10)
+
+
 def prefix(shingles: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
     """The first shingles in one order for all sets (common ones last, by how often they are), as many as two sets of a
-    similarity of LIKE or more need to have one of them in common."""
+    similarity of LIKE or more need to have shared_at_least() of them in common."""
     n = len(shingles)
     if not n:
         return shingles
-    k = n - -(-n * LIKE[0] // LIKE[1]) + 1
+    k = n - -(-n * LIKE[0] // LIKE[1]) + shared_at_least(n)
     if not len(common):
         return shingles[:k]
     at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
@@ -296,83 +303,151 @@ def _prefixes(words: int, common: np.ndarray, often: np.ndarray):
     return run
 
 
-def _by_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (node, size, prefix): (shingle, node, size) for each shingle of the prefix, once for each node in a task."""
-    seen: set[int] = set()
-    for batch in batches:
-        nodes = batch.column(0).to_pylist()
-        batch = batch.filter(pa.array([x not in seen and not seen.add(x) for x in nodes], pa.bool_()))
-        for a in range(0, len(batch), 1024):
-            part = batch.slice(a, 1024)
-            data, bounds = C.text_bytes(part.column(2))
-            n = np.diff(bounds) // 8
-            columns = [np.frombuffer(data.tobytes(), np.uint64), *(np.repeat(part.column(k).to_numpy(), n) for k in (0, 1))]
-            yield pa.RecordBatch.from_arrays([C.longs(c) for c in columns], names=["shingle", "node", "size"])
+#: Parts of the hash range for each partition, so that partitions are of about one size.
+PARTS = 8
+
+
+def _by_shingle(parts: int):
+    """Of (node, size, prefix): the shingles of prefixes with their nodes and sizes, packed for each part of the hash range;
+    once for each node in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            nodes = batch.column(0).to_pylist()
+            batch = batch.filter(pa.array([x not in seen and not seen.add(x) for x in nodes], pa.bool_()))
+            for a in range(0, len(batch), 1024):
+                some = batch.slice(a, 1024)
+                data, bounds = C.text_bytes(some.column(2))
+                shingle, n = np.frombuffer(data.tobytes(), np.uint64), np.diff(bounds) // 8
+                part = ((W.scramble(shingle) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                columns = [shingle[order], *(np.repeat(some.column(k).to_numpy().astype(t), n)[order] for k, t in ((0, np.int64), (1, np.int32)))]
+                counts = np.bincount(part, minlength=parts)
+                of = np.flatnonzero(counts)
+                ends = np.r_[0, np.cumsum(counts[of])]
+                yield pa.RecordBatch.from_arrays([C.longs(of), *(C.binaries(c.view(np.uint8), ends * c.itemsize) for c in columns)], names=["part", "shingle", "node", "size"])
+
+    return run
+
+
+PACKED, MET, PAIRS = "part long, shingle binary, node binary, size binary", "shingle long, node long, size long", "a long, b long"
 
 
-MET, PAIRS = "shingle long, node long, size long", "a long, b long, need long, n long"
+def _met(shingle: np.ndarray, node: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by shingle and size without repeats, and whether each of its rows has the shingle of the next row and a size that a near copy of that
+    may have. As sizes are in order, two near copies with a shingle in common are joined by a chain of such rows."""
+    order = np.lexsort([node, size, shingle])
+    new = np.r_[True, np.diff(shingle[order]) != 0]
+    order = order[new | np.r_[True, np.diff(node[order]) != 0]] if len(order) else order
+    same = shingle[order[1:]] == shingle[order[:-1]]
+    return order, same & (size[order[:-1]] * LIKE[1] >= size[order[1:]] * LIKE[0])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows whose shingle has other nodes, too, each once."""
+    """The rows whose shingle has another node, too, of a size that allows a near copy; each once."""
+    kinds = (("shingle", np.uint64), ("node", np.int64), ("size", np.int32))
+    t = C.gathered(batches, pa.schema([("part", pa.int64()), *((c, pa.binary()) for c, _ in kinds)]))
+    if len(t):
+        columns = [C.text_bytes(t.column(c))[0].view(kind) for c, kind in kinds]
+        order, chained = _met(*(c.astype(np.int64) if c.itemsize == 4 else c for c in columns))
+        order = order[np.r_[chained, False] | np.r_[False, chained]]
+        for a in range(0, len(order), 1 << 16):
+            yield pa.RecordBatch.from_arrays([C.longs(c[order[a : a + (1 << 16)]]) for c in columns], names=["shingle", "node", "size"])
+
+
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between nodes that may be near copies by a shingle here, enough of them to give every component."""
     t = C.gathered(batches, pa.schema([(c.split()[0], pa.int64()) for c in MET.split(", ")]))
     if len(t):
-        shingle, node = C.array_of(t, "shingle"), C.array_of(t, "node")
-        order = np.lexsort([node, shingle])
-        new = np.r_[True, np.diff(shingle[order]) != 0]
-        order, new = (x[new | np.r_[True, np.diff(node[order]) != 0]] for x in (order, new))
-        alone = new & np.r_[new[1:], True]
-        yield from t.take(pa.array(order[~alone])).combine_chunks().to_batches()
+        shingle, node, size = (C.array_of(t, c) for c in ("shingle", "node", "size"))
+        order, chained = _met(shingle, node, size)
+        own, node = np.unique(node[order], return_inverse=True)
+        pairs = np.unique(np.minimum(node[:-1], node[1:])[chained] * len(own) + np.maximum(node[:-1], node[1:])[chained])
+        a, b = pairs // len(own), pairs % len(own)
+        kept = _Forest(len(own)).join(a, b)
+        yield pa.RecordBatch.from_arrays([C.longs(own[a[kept]]), C.longs(own[b[kept]])], names=["a", "b"])
 
 
 def _suffix(size: np.ndarray) -> np.ndarray:
-    """How many shingles of a set are beyond its prefix."""
+    """How many shingles of a set are beyond the first of which two near copies share one."""
     return -(-size * LIKE[0] // LIKE[1]) - 1
 
 
-def _candidates(star: bool, most: int = BLOCK):
-    """Pairs a < b of nodes, with the number n of shingles at which they meet here and the number that they need at least
-    to be similar: what else two sets have in common is beyond the prefix that ends first. star: of each shingle, its
-    least node with the others; else all pairs of different components (column c)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["shingle", "node", "size", *([] if star else ["c"])]
-        t = C.gathered(batches, pa.schema([(c, pa.int64()) for c in names]))
-        if not len(t):
-            return
-        shingle, node, size, *c = (C.array_of(t, x) for x in names)
-        order = np.lexsort([node, *c, shingle])
-        shingle, node, size, *c = (x[order] for x in (shingle, node, size, *c))
-        own, first, node = np.unique(node, return_index=True, return_inverse=True)
-        size = size[first]
-        new = np.r_[True, shingle[1:] != shingle[:-1]]
-        ends = lambda new: np.r_[np.flatnonzero(new)[1:], len(new)][np.cumsum(new) - 1]
-        end = ends(new)
-        if star:
-            begin, rows = np.arange(1, len(node) + 1), np.flatnonzero(new)
-        else:
-            begin, rows = ends(new | np.r_[True, c[0][1:] != c[0][:-1]]), np.arange(len(node))
-        rows = rows[end[rows] > begin[rows]]
-        n = end[rows] - begin[rows]
-        pairs, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        block = (np.cumsum(n) - 1) // most if len(n) else n
-        for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(block)) + 1) if len(rows) else []:
-            i, j = node[np.repeat(rows[part], n[part])], node[C.ranges(begin[rows[part]], n[part])]
-            ok = np.minimum(size[i], size[j]) * LIKE[1] >= np.maximum(size[i], size[j]) * LIKE[0]
-            i, j = i[ok], j[ok]
-            more, n_more = np.unique(np.minimum(i, j) * len(own) + np.maximum(i, j), return_counts=True)
-            pairs, at = np.unique(np.concatenate([pairs, more]), return_inverse=True)
-            times = np.bincount(at, np.concatenate([times, n_more]), len(pairs)).astype(np.int64)
-        if len(pairs):
-            i, j = pairs // len(own), pairs % len(own)
-            need = -(-(size[i] + size[j]) * LIKE[0] // sum(LIKE)) - np.maximum(_suffix(size[i]), _suffix(size[j]))
-            yield pa.RecordBatch.from_arrays([C.longs(x) for x in (own[i], own[j], need, times)], names=["a", "b", "need", "n"])
-
-    return run
-
-
-def _likely(met: DataFrame, star: bool) -> DataFrame:
-    return met.mapInArrow(C.lean(_candidates(star)), PAIRS).groupBy("a", "b", "need").agg(F.sum("n").alias("n")).where("n >= need").select("a", "b")
+def near_in_cell(sets: list[np.ndarray], group: np.ndarray) -> list[tuple[int, int]]:
+    """Links (i, j) between sets at a similarity of LIKE or more, enough of them to give every component; sets of equal group are
+    joined already. Each set is compared with those not yet reached only, and of these with those that share enough of its
+    rarest shingles, so sets that are joined, or unlike, cost little; no pair leaves this function unless it joins two components."""
+    m, size = len(sets), np.array([len(x) for x in sets])
+    start = np.cumsum(size) - size
+    values, flat, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(m), size)
+    flat = flat[np.lexsort([flat, often[flat], owner])]
+    few = size - _suffix(size)
+    first = np.flatnonzero((np.arange(len(flat)) - start[owner] < few[owner]) & (often[flat] > 1))
+    first = first[np.argsort(flat[first], kind="stable")]
+    key, at = flat[first], owner[first]
+    by = np.argsort(group, kind="stable")
+    bounds = np.flatnonzero(np.r_[True, np.diff(group[by]) != 0, True])
+    members = [by[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+    mine = np.empty(m, np.int64)
+    mine[by] = np.repeat(np.arange(len(members)), np.diff(bounds))
+    reached, own, links = np.zeros(m, bool), np.zeros(len(values), bool), []
+    left = indexed = m + 1
+    for x in range(m):
+        if reached[x]:
+            continue
+        front = members[mine[x]].tolist()
+        reached[front] = True
+        left -= len(front)
+        while front and left > 1:
+            if 2 * left <= indexed or indexed > m:  # the index has only those not yet reached
+                still = ~reached[at]
+                key, at, indexed = key[still], at[still], left
+                counts = np.bincount(key, minlength=len(values))
+                begin = np.cumsum(counts) - counts
+            i = front.pop()
+            ids = flat[start[i] : start[i] + few[i]]
+            met = at[C.ranges(begin[ids], counts[ids])]
+            met, n = np.unique(met[~reached[met]], return_counts=True)
+            both = size[i] + size[met]
+            may = n >= -(-both * LIKE[0] // sum(LIKE)) - np.maximum(_suffix(size[i]), _suffix(size[met]))
+            met = met[may & (np.minimum(size[i], size[met]) * LIKE[1] >= np.maximum(size[i], size[met]) * LIKE[0])]
+            if not len(met):
+                continue
+            ids = flat[start[i] : start[i] + size[i]]
+            own[ids] = True
+            for a in range(0, len(met), 256):
+                j = met[a : a + 256]
+                shared = np.add.reduceat(own[flat[C.ranges(start[j], size[j])]].astype(np.int64), np.cumsum(size[j]) - size[j])
+                for k in j[shared * sum(LIKE) >= (size[i] + size[j]) * LIKE[0]].tolist():
+                    if not reached[k]:
+                        links.append((i, k))
+                        reached[members[mine[k]]] = True
+                        front += members[mine[k]].tolist()
+                        left -= len(members[mine[k]])
+            own[ids] = False
+    return links
+
+
+def _in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (c, low, high, node, joined, shingles): links between near copies in each cell (c, low, high)."""
+    keys = ("c", "low", "high", "node", "joined")
+    t = C.gathered(batches, pa.schema([*((k, pa.int64()) for k in keys), ("shingles", pa.binary())]))
+    if not len(t):
+        return
+    *cell, node, joined = (C.array_of(t, k) for k in keys)
+    data, bounds = C.text_bytes(t.column("shingles"))
+    data, bounds = data.view(np.uint64), bounds // 8
+    order = np.lexsort([node, *cell])
+    new = np.flatnonzero(np.r_[True, np.any([np.diff(k[order]) != 0 for k in cell], axis=0), True])
+    a, b = [], []
+    for rows in (order[x:y] for x, y in zip(new[:-1], new[1:]) if y > x + 1):
+        for i, j in near_in_cell([data[bounds[r] : bounds[r + 1]] for r in rows.tolist()], joined[rows]):
+            a.append(node[rows[i]])
+            b.append(node[rows[j]])
+    if a:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], names=["a", "b"])
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -388,6 +463,8 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: Texts to verify, of two numbers each, that are broadcast at most: about 100 MB.
 NAMES = 2_000_000
+#: Shingles of the sets that are compared in one place, about.
+CELL = 2 << 20
 
 
 def linked(nodes: DataFrame) -> DataFrame:
@@ -404,42 +481,47 @@ def near_copies(texts: DataFrame, words: int = 5) -> DataFrame:
 
     Texts are near copies if the Jaccard similarity of their sets of five-word shingles is 0.8 or more, and by chains of
     such pairs. Links between SimHash fingerprints of the sets, by anchor points, give the first candidates. They alone would lose
-    most pairs near 0.8, so the search is made exact: two such sets share one of the first shingles of each (see prefix), whatever
-    the order. Every candidate is verified by the whole sets, first the links and those pairs of each shingle's least node that meet
-    often enough, then all such pairs whose nodes these didn't join, so a large group of near copies costs its size and
-    not its square. Texts with equal sets are one node; texts without a word are copies of each other.
+    most pairs near 0.8, so the search is made exact: near copies share a tenth of their shingles among the first of each (see prefix),
+    whatever the order, so a text that shares fewer there with all others has none. The rest are linked by those shingles, and each
+    component's sets meet in one place, or block by block if it is large (CELL), where all that the fingerprints' links, verified, haven't joined are
+    compared. Only links that join two components leave a task, so no rows grow with the square of a group. Texts with equal
+    sets are one node; texts without a word are copies of each other.
     """
-    total = texts.count()
+    spark, total = texts.sparkSession, texts.count()
     # a sample decides only on the order, which no result depends on
     some = texts.where(F.pmod(F.xxhash64("_u"), F.lit(max(1, total // SAMPLE))) == 0).select("text")
     counts = some.mapInArrow(_shingles(words), "shingle long").groupBy("shingle").count().where(F.col("count") >= COMMON).toArrow()
     common, often = counts.column(0).to_numpy().view(np.uint64), counts.column(1).to_numpy()
     common, often = common[order := np.argsort(common)], often[order].astype(np.int32)
     prints = C.cut(texts.mapInArrow(_prefixes(words, common, often), "_u long, node long, size long, fp long, prefix binary"))
-    close = linked(prints.select("node", "fp").distinct())
-    # as many partitions as their rows need, a fifth of all shingles; they stay as written, with all rows of a shingle in one
-    n = C.partitions(texts.sparkSession, (prints.agg(F.sum("size")).first()[0] or 0) // 5, ROWS_A_TASK)
-    met = C.cut(prints.select("node", "size", "prefix").mapInArrow(_by_shingle, MET).repartition(n, "shingle").mapInArrow(C.lean(_shared), MET))
-    firsts = C.cut(prints.groupBy("node").agg(F.min("_u").alias("_first")))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        used = C.cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(firsts, "node"))
-        # two numbers a row: while they are few, no text moves
-        used = F.broadcast(used) if used.count() <= NAMES else used
-        sets = C.cut(texts.join(used, F.col("_u") == F.col("_first")).select("node", "text").mapInArrow(_sets(words), "node long, shingles binary"))
-        of = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"s{end}"))
-        return C.cut(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(C.lean(_verified), "a long, b long"))
-
-    stars = C.cut(_likely(met, True).union(close).distinct())
-    links = verified(stars)
+    # as many partitions as their rows need, three tenths of all shingles
+    n = C.partitions(spark, (prints.agg(F.sum("size")).first()[0] or 0) * 3 // 10, ROWS_A_TASK)
+    packed = prints.select("node", "size", "prefix").mapInArrow(_by_shingle(n * PARTS), PACKED)
+    met = C.cut(packed.repartition(n, "part").mapInArrow(C.lean(_shared), MET))
+    enough = met.groupBy("node", "size").agg(F.count("*").alias("_n")).where(F.col("_n") >= F.expr("(size + 9) div 10"))
+    nodes = C.cut(enough.select("node", "size").join(prints.groupBy("node").agg(F.min("_u").alias("_first"), F.min("fp").alias("fp")), "node"))
+    # two numbers a row: while they are few, no text moves
+    small = (lambda df: F.broadcast(df)) if nodes.count() <= NAMES else (lambda df: df)
+    used = small(nodes.select("node", "_first"))
+    sets = C.cut(texts.join(used, F.col("_u") == F.col("_first")).select("node", "text").mapInArrow(_sets(words), "node long, shingles binary"))
+    of = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"s{end}"))
+    close = linked(nodes.select("node", "fp"))
+    links = C.cut(close.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(C.lean(_verified), PAIRS))
     joined = C.cut(components(links))
-    apart = met.join(joined, "node", "left").select("shingle", "node", "size", F.coalesce("component", "node").alias("c"))
-    others = _likely(apart.repartition(n, "shingle"), False)
-    others = C.cut(others.join(stars, ["a", "b"], "left_anti"))
-    if not others.isEmpty():
-        more = verified(others)
-        if not more.isEmpty():
-            joined = C.cut(components(links.union(more)))
+    # all that may be near copies of each other, by cells: one for a component, or one for each two blocks of it
+    chained = met.join(small(nodes.select("node")), "node", "left_semi").select("shingle", "node", "size")
+    places = C.cut(components(C.cut(chained.repartition(n, "shingle").mapInArrow(C.lean(_chains), PAIRS))))
+    places = places.withColumnRenamed("component", "c").join(nodes.select("node", "size"), "node")
+    blocks = places.groupBy("c").agg(F.expr(f"cast(ceil(sum(size) / {CELL}) as int)").alias("_of"))
+    places = C.cut(places.join(blocks, "c").withColumn("_in", F.expr("cast(pmod(xxhash64(node), _of) as int)")))
+    others = F.explode(F.expr("if(_of = 1, array(0), filter(sequence(0, _of - 1), x -> x <> _in))"))
+    cells = places.join(joined, "node", "left").select("c", "_in", "node", "size", F.coalesce("component", "node").alias("joined"), others.alias("_to"))
+    cells = C.cut(cells.select("c", F.least("_in", "_to").cast("long").alias("low"), F.greatest("_in", "_to").cast("long").alias("high"), "node", "joined", "size"))
+    m = C.partitions(spark, cells.agg(F.sum("size")).first()[0] or 0, ROWS_A_TASK)
+    cells = cells.join(sets, "node").select("c", "low", "high", "node", "joined", "shingles").repartition(m, "c", "low", "high")
+    more = C.cut(cells.mapInArrow(C.lean(_in_cells), PAIRS))
+    if not more.isEmpty():
+        joined = C.cut(components(links.union(more)))
     named = prints.select("_u", "node").join(joined, "node", "left").select("_u", F.coalesce("component", "node").alias("c"))
     named = C.cut(named)
     # written by itself, so that the join below gets plain rows, which Spark can split where a group is very large

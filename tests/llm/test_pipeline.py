@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as C
@@ -131,3 +132,57 @@ def test_helper_columns_may_clash(spark):
     got = S.keep_one_of_each(df)
     assert got.columns == df.columns and got.count() == 3
     assert S.keep_one_of_each(df.where("doc_id = 2")).collect()[0]._gone == 2
+
+
+def roots(n, links):
+    up = list(range(n))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for x, y in links:
+        x, y = root(x), root(y)
+        up[max(x, y)] = min(x, y)
+    return [root(x) for x in range(n)]
+
+
+def test_cell_equals_brute_force():
+    r = np.random.Generator(np.random.PCG64(6))
+    for n in (2, 7, 60, 300):
+        bases = [np.unique(r.integers(0, 1 << 63, int(r.integers(1, 200)), np.uint64)) for _ in range(max(1, n // 12))]
+        sets = []
+        for _ in range(n):
+            x = bases[r.integers(len(bases))]
+            x = x[r.random(len(x)) > r.choice([0, 0.05, 0.1, 0.15])]
+            sets.append(np.unique(np.r_[x, r.integers(0, 1 << 63, max(1 - len(x), len(x) // 30), np.uint64)]))
+        pairs = [(i, j) for i in range(n) for j in range(i) if S.similar(sets[i], sets[j])]
+        for group in (np.arange(n), np.array(roots(n, pairs[::3]))):
+            got = S.near_in_cell(sets, group)
+            assert all(S.similar(sets[i], sets[j]) for i, j in got) and len(got) < n
+            assert roots(n, got + [(i, int(g)) for i, g in enumerate(group)]) == roots(n, pairs)
+
+
+@pytest.mark.parametrize("cell", [None, 20_000])
+def test_pairs_do_not_grow_with_the_square(spark, monkeypatch, cell):
+    """A large family of texts that are alike at 0.7 to 0.8, whole or in blocks: rows of two nodes stay in proportion to the texts."""
+    r = random.Random(12)
+    lines = [" ".join(f"l{k}.{i}" for i in range(20)) for k in range(40)]
+    texts = [" ".join(x for x in lines if r.random() < 0.85) for _ in range(200)]
+    sets = [S.shingle_set(t) for t in texts]
+    pairs = [(i, j) for i in range(200) for j in range(i) if S.similar(sets[i], sets[j])]
+    counts, cut = [], S.C.cut
+
+    def counted(df):
+        out = cut(df)
+        if out.columns == ["a", "b"]:
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(S.C, "cut", counted)
+    if cell:
+        monkeypatch.setattr(S, "CELL", cell)
+    kept = {x.doc_id for x in S.keep_one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    assert 20 < len(pairs) and kept == {i for i, x in enumerate(roots(200, pairs)) if x == i}
+    assert counts and max(counts) <= 5 * len(texts) and len(kept) > 20
