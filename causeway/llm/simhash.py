@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from causeway.llm import _common as C
 from causeway.llm import _windows as W
-from causeway.llm._components import components
+from causeway.llm._components import Forest, components
 
 THRESHOLD = 3
 BLOCK = 1 << 21
@@ -115,30 +115,6 @@ def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([C.longs(key << np.uint64(1) | home), C.longs(fp[owner])], names=["anchor", "fp"])
 
 
-class _Forest:
-    """Union-find over the fingerprints of one task."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> list[int]:
-        """The numbers of those links that join two components."""
-        kept = []
-        for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-            x, y = self.root(x), self.root(y)
-            if x != y:
-                self.up[max(x, y)] = min(x, y)
-                kept.append(i)
-        return kept
-
-
 def _spread(members: np.ndarray, near):
     """Links that reach every member of a large group from those already reached: each new one is
     compared with the unreached only, so a group of close fingerprints shrinks at once."""
@@ -178,7 +154,7 @@ def _compare(threshold: int, most: int = BLOCK):
         sizes = np.diff(np.r_[new, len(key)])
         n_home = np.add.reduceat(home.astype(np.int64), new)
         # homes have the larger number, so they are the last of their anchor
-        forest, links = _Forest(len(own)), []
+        forest, links = Forest(len(own)), []
 
         def add(i, j):
             kept = forest.join(fp[i], fp[j])
@@ -365,7 +341,7 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, node = np.unique(node[order], return_inverse=True)
         pairs = np.unique(np.minimum(node[:-1], node[1:])[chained] * len(own) + np.maximum(node[:-1], node[1:])[chained])
         a, b = pairs // len(own), pairs % len(own)
-        kept = _Forest(len(own)).join(a, b)
+        kept = Forest(len(own)).join(a, b)
         yield pa.RecordBatch.from_arrays([C.longs(own[a[kept]]), C.longs(own[b[kept]])], names=["a", "b"])
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from causeway.llm import _components as K
 from causeway.llm import simhash as S
 from causeway.llm._components import components
 
@@ -86,6 +87,35 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_edges_are_joined_in_one_task(spark, monkeypatch):
+    """A long path and a hub: written once and joined at once when one task can hold them, by stars when not, with the same result."""
+    r = random.Random(7)
+    edges = [(i, i + 1) for i in range(300)] + [(5000, 1000 + i) for i in range(400)] + [(9000 + r.randrange(200), 9000 + r.randrange(200)) for _ in range(150)]
+    edges = spark.createDataFrame(edges + edges[:50] + [(None, 1), (8, 8)], "a long, b long").repartition(4)
+    written, cut = [], K.cut
+
+    def counted(df):
+        written.append(cut(df))
+        return written[-1]
+
+    monkeypatch.setattr(K, "cut", counted)
+    once = sorted(map(tuple, components(edges).collect()))
+    assert len(written) == 1
+    counts = []
+    for most in (0, 450):  # never few, and few after some rounds
+        monkeypatch.setattr(K, "ONE_TASK", most)
+        written.clear()
+        assert sorted(map(tuple, components(edges).collect())) == once
+        counts.append(len(written))
+    assert counts[0] >= counts[1] >= 3
+    links = [(x, y) for x, y in edges.collect() if x is not None and x != y]
+    up = {x: x for e in links for x in e}
+    while any(up[x] != up[y] for x, y in links):
+        for x, y in links:
+            up[x] = up[y] = min(up[x], up[y])
+    assert once == sorted(up.items())
+
+
 def test_operator(spark):
     r = random.Random(2)
     base = [" ".join(r.choice(["ta", "Po", "ke", "lu", "mi"]) + str(r.randint(0, 30)) for _ in range(120)) for _ in range(8)]
