@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -225,12 +226,36 @@ def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(W.grams(h, min(words, len(h)))) if len(h) else np.zeros(0, np.uint64)
 
 
+#: What a cell gets: a set, without `other`, or a link (node, other) between two of its sets that the fingerprints propose, without shingles.
+CELLS = "c long, low long, high long, node long, other long, shingles binary"
+
+
+#: Bytes of sets that leave a worker at once, about.
+SENT = 4 << 20
+
+
 def _sets(words: int):
+    """Of (c, _in, _of, text): the text's set for each cell of component c that its block, _in of _of, is in."""
+    schema = pa.schema([*((k, pa.int64()) for k in ("c", "low", "high", "node", "other")), ("shingles", pa.binary())])
+
+    def packed(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, len(batch), 256):
-                part = batch.slice(a, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py(), words).tobytes() for t in part.column(1)], pa.binary())], names=["node", "shingles"])
+            rows, held = [], 0
+            for c, own, of, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
+                found = shingle_set(text.as_py(), words).tobytes()
+                node = int(np.uint64(xxhash.xxh3_64_intdigest(found)).view(np.int64))
+                for to in range(of):
+                    if to != own or of == 1:
+                        rows.append((c, min(own, to), max(own, to), node, None, found))
+                        held += len(found)
+                        if held > SENT:
+                            yield packed(rows)
+                            rows, held = [], 0
+            if rows:
+                yield packed(rows)
 
     return run
 
@@ -407,21 +432,33 @@ def near_in_cell(sets: list[np.ndarray], group: np.ndarray) -> list[tuple[int, i
 
 
 def _in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (c, low, high, node, joined, shingles): links between near copies in each cell (c, low, high)."""
-    keys = ("c", "low", "high", "node", "joined")
-    t = C.gathered(batches, pa.schema([*((k, pa.int64()) for k in keys), ("shingles", pa.binary())]))
+    """Of CELLS: links between near copies in each cell (c, low, high), enough of them to give every component of the cell. Those that
+    the fingerprints propose are verified first, and what they join isn't compared again."""
+    keys = ("c", "low", "high", "node")
+    t = C.gathered(batches, pa.schema([*((k, pa.int64()) for k in (*keys, "other")), ("shingles", pa.binary())]))
+    proposed = pc.is_valid(t.column("other"))
+    pairs, t = t.filter(proposed), t.filter(pc.invert(proposed))
     if not len(t):
         return
-    *cell, node, joined = (C.array_of(t, k) for k in keys)
+    *cell, node = (C.array_of(t, k) for k in keys)
     data, bounds = C.text_bytes(t.column("shingles"))
     data, bounds = data.view(np.uint64), bounds // 8
     order = np.lexsort([node, *cell])
     new = np.flatnonzero(np.r_[True, np.any([np.diff(k[order]) != 0 for k in cell], axis=0), True])
+    by: dict[tuple, list] = {}
+    for *at, x, y in zip(*(C.array_of(pairs, k).tolist() for k in (*keys, "other"))):
+        by.setdefault(tuple(at), []).append((x, y))
     a, b = [], []
     for rows in (order[x:y] for x, y in zip(new[:-1], new[1:]) if y > x + 1):
-        for i, j in near_in_cell([data[bounds[r] : bounds[r + 1]] for r in rows.tolist()], joined[rows]):
-            a.append(node[rows[i]])
-            b.append(node[rows[j]])
+        sets, own = [data[bounds[r] : bounds[r + 1]] for r in rows.tolist()], node[rows]
+        forest, links = Forest(len(rows)), []
+        for i, j in np.searchsorted(own, np.array(by.get(tuple(int(k[rows[0]]) for k in cell), []), np.int64).reshape(-1, 2)).tolist():
+            if forest.root(i) != forest.root(j) and similar(sets[i], sets[j]):
+                forest.join(np.array([i]), np.array([j]))
+                links.append((i, j))
+        for i, j in links + near_in_cell(sets, np.fromiter(map(forest.root, range(len(rows))), np.int64, len(rows))):
+            a.append(own[i])
+            b.append(own[j])
     if a:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], names=["a", "b"])
 
@@ -431,13 +468,7 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return both * LIKE[1] >= (len(x) + len(y) - both) * LIKE[0]
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [[np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(k)] for k in (2, 3)]
-        yield batch.select(["a", "b"]).filter(pa.array([similar(x, y) for x, y in zip(*sets)], pa.bool_()))
-
-
-#: Texts to verify, of two numbers each, that are broadcast at most: about 100 MB.
+#: Rows of one to four numbers that are broadcast at most, instead of texts being shuffled: texts to compare, and those to drop.
 NAMES = 2_000_000
 #: Shingles of the sets that are compared in one place, about.
 CELL = 2 << 20
@@ -459,8 +490,8 @@ def near_copies(texts: DataFrame, words: int = 5) -> DataFrame:
     such pairs. Links between SimHash fingerprints of the sets, by anchor points, give the first candidates. They alone would lose
     most pairs near 0.8, so the search is made exact: near copies share a tenth of their shingles among the first of each (see prefix),
     whatever the order, so a text that shares fewer there with all others has none. The rest are linked by those shingles, and each
-    component's sets meet in one place, or block by block if it is large (CELL), where all that the fingerprints' links, verified, haven't joined are
-    compared. Only links that join two components leave a task, so no rows grow with the square of a group. Texts with equal
+    component's sets meet in one place, or block by block if it is large (CELL), where the fingerprints' links are verified and all that they haven't
+    joined are compared. Only links that join two components leave a task, so no rows grow with the square of a group. Texts with equal
     sets are one node; texts without a word are copies of each other.
     """
     spark, total = texts.sparkSession, texts.count()
@@ -476,28 +507,24 @@ def near_copies(texts: DataFrame, words: int = 5) -> DataFrame:
     met = C.cut(packed.repartition(n, "part").mapInArrow(C.lean(_shared), MET))
     enough = met.groupBy("node", "size").agg(F.count("*").alias("_n")).where(F.col("_n") >= F.expr("(size + 9) div 10"))
     nodes = C.cut(enough.select("node", "size").join(prints.groupBy("node").agg(F.min("_u").alias("_first"), F.min("fp").alias("fp")), "node"))
-    # two numbers a row: while they are few, no text moves
+    # while they are few, no text moves
     small = (lambda df: F.broadcast(df)) if nodes.count() <= NAMES else (lambda df: df)
-    used = small(nodes.select("node", "_first"))
-    sets = C.cut(texts.join(used, F.col("_u") == F.col("_first")).select("node", "text").mapInArrow(_sets(words), "node long, shingles binary"))
-    of = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"s{end}"))
-    close = linked(nodes.select("node", "fp"))
-    links = C.cut(close.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(C.lean(_verified), PAIRS))
-    joined = C.cut(components(links))
     # all that may be near copies of each other, by cells: one for a component, or one for each two blocks of it
     chained = met.join(small(nodes.select("node")), "node", "left_semi").select("shingle", "node", "size")
     places = C.cut(components(C.cut(chained.repartition(n, "shingle").mapInArrow(C.lean(_chains), PAIRS))))
-    places = places.withColumnRenamed("component", "c").join(nodes.select("node", "size"), "node")
+    places = places.withColumnRenamed("component", "c").join(nodes.select("node", "size", "_first"), "node")
     blocks = places.groupBy("c").agg(F.expr(f"cast(ceil(sum(size) / {CELL}) as int)").alias("_of"))
     places = C.cut(places.join(blocks, "c").withColumn("_in", F.expr("cast(pmod(xxhash64(node), _of) as int)")))
-    others = F.explode(F.expr("if(_of = 1, array(0), filter(sequence(0, _of - 1), x -> x <> _in))"))
-    cells = places.join(joined, "node", "left").select("c", "_in", "node", "size", F.coalesce("component", "node").alias("joined"), others.alias("_to"))
-    cells = C.cut(cells.select("c", F.least("_in", "_to").cast("long").alias("low"), F.greatest("_in", "_to").cast("long").alias("high"), "node", "joined", "size"))
-    m = C.partitions(spark, cells.agg(F.sum("size")).first()[0] or 0, ROWS_A_TASK)
-    cells = cells.join(sets, "node").select("c", "low", "high", "node", "joined", "shingles").repartition(m, "c", "low", "high")
-    more = C.cut(cells.mapInArrow(C.lean(_in_cells), PAIRS))
-    if not more.isEmpty():
-        joined = C.cut(components(links.union(more)))
+    # near copies share a shingle, so links between two components need no verification
+    of = lambda end: places.select(F.col("node").alias(end), F.col("c").alias(f"c{end}"), F.col("_in").alias(f"i{end}"), F.col("_of").alias(f"of{end}"))
+    others = F.explode(F.expr("if(ia <> ib, array(ib), if(ofa = 1, array(0), filter(sequence(0, ofa - 1), x -> x <> ia)))"))
+    links = linked(nodes.select("node", "fp")).join(of("a"), "a").join(of("b"), "b").where("ca = cb").select("ca", "a", "b", "ia", others.alias("_to"))
+    links = links.select("ca", F.least("ia", "_to").cast("long"), F.greatest("ia", "_to").cast("long"), "a", "b", F.lit(None).cast("binary"))
+    m = C.partitions(spark, places.agg(F.sum(F.col("size") * F.greatest(F.lit(1), F.col("_of") - 1))).first()[0] or 0, ROWS_A_TASK)
+    # the sets move once, from the texts to their cells
+    sets = texts.join(small(places.select("_first", "c", "_in", "_of")), F.col("_u") == F.col("_first")).select("c", "_in", "_of", "text")
+    cells = sets.mapInArrow(_sets(words), CELLS).union(links).repartition(m, "c", "low", "high")
+    joined = C.cut(components(C.cut(cells.mapInArrow(C.lean(_in_cells), PAIRS))))
     named = prints.select("_u", "node").join(joined, "node", "left").select("_u", F.coalesce("component", "node").alias("c"))
     named = C.cut(named)
     # written by itself, so that the join below gets plain rows, which Spark can split where a group is very large
@@ -515,5 +542,6 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         docs = docs.orderBy(F.col(id_col).asc_nulls_last(), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
         docs, key = C.cut(docs.withColumn(row, F.monotonically_increasing_id())), row
     gone = near_copies(docs.select(F.col(key).cast("long").alias("_u"), F.col(text_col).cast("string").alias("text")), **kw).where("_u <> first")
-    kept = docs.join(gone.select(F.col("_u").alias(dropped)), F.col(key) == F.col(dropped), "left_anti")
+    gone = C.cut(gone.select(F.col("_u").alias(dropped)))
+    kept = docs.join(F.broadcast(gone) if gone.count() <= NAMES else gone, F.col(key) == F.col(dropped), "left_anti")
     return kept.drop(row) if repeated else kept

@@ -186,3 +186,43 @@ def test_pairs_do_not_grow_with_the_square(spark, monkeypatch, cell):
     kept = {x.doc_id for x in S.keep_one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
     assert 20 < len(pairs) and kept == {i for i, x in enumerate(roots(200, pairs)) if x == i}
     assert counts and max(counts) <= 5 * len(texts) and len(kept) > 20
+
+
+def test_cells_verify_what_fingerprints_propose():
+    """Right, wrong and missing proposals give the components of brute force, cell by cell."""
+    r = np.random.Generator(np.random.PCG64(7))
+    sets, where = [], []
+    for cell in ((1, 0, 0), (1, 0, 1), (5, 0, 0)):
+        for base in [np.unique(r.integers(0, 1 << 63, 80, np.uint64)) for _ in range(6)]:
+            for _ in range(5):
+                sets.append(base[r.random(len(base)) > r.choice([0, 0.06, 0.12])])
+                where.append(cell)
+    n = len(sets)
+    pairs = [(i, j) for i in range(n) for j in range(i) if where[i] == where[j] and S.similar(sets[i], sets[j])]
+    wrong = [(i, j) for i in range(n) for j in range(i) if where[i] == where[j] and not S.similar(sets[i], sets[j])]
+    for proposed in ([], pairs[::2] + wrong[::9], pairs + wrong):
+        rows = [(*where[i], 100 + i, None, x.tobytes()) for i, x in enumerate(sets)] + [(*where[i], 100 + j, 100 + i, None) for i, j in proposed]
+        r.shuffle(rows)
+        kinds = [S.pa.int64()] * 5 + [S.pa.binary()]
+        batch = S.pa.RecordBatch.from_arrays([S.pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds)], names=["c", "low", "high", "node", "other", "shingles"])
+        got = [(x["a"] - 100, x["b"] - 100) for b in S._in_cells(iter([batch])) for x in b.to_pylist()]
+        assert all(S.similar(sets[i], sets[j]) for i, j in got) and len(got) < n
+        assert roots(n, got) == roots(n, pairs)
+
+
+@pytest.mark.parametrize("names", [None, 0])
+def test_texts_and_sets_move_once(spark, monkeypatch, names):
+    """The texts are not shuffled while names are few, and no set is written but to its cells; beyond that the same rows stay."""
+    r = random.Random(13)
+    base = [[f"w{r.randint(0, 5000)}" for _ in range(100)] for _ in range(20)]
+    texts = [" ".join(b[:50] + [f"n{k}"] * (k > 0) + b[50:]) for b in base for k in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    written, cut = [], S.C.cut
+    monkeypatch.setattr(S.C, "cut", lambda frame: written.append(frame.columns) or cut(frame))
+    if names is not None:
+        monkeypatch.setattr(S, "NAMES", names)
+    kept = S.keep_one_of_each(df)
+    assert {x.doc_id for x in kept.collect()} == set(range(0, 60, 3))
+    assert not any({"text", "shingles"} & set(columns) for columns in written)
+    plan = kept._jdf.queryExecution().sparkPlan().toString()
+    assert ("BroadcastHashJoin" in plan) == (names is None) and ("SortMergeJoin" in plan) == (names is not None)
